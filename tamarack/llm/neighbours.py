@@ -7,7 +7,8 @@ long keys and sparse ones short keys. Every vector probes the ``probes`` best le
 compared exactly, by blocks, with all members of them; the best k of all tables are kept.
 
 No bucket is capped: a leaf that stays large after the last digit is compared in blocks of ``leaf`` members,
-and a leaf with many probing vectors is spread over several tasks. Vectors that are copies of each other
+and a leaf with many probing vectors is spread over several tasks. Vectors whose leaves
+hold fewer than k others are compared with all, ``ASK`` at a time. Vectors that are copies of each other
 (after scaling, to six digits) are hashed once and expanded at the end, each class by its k + 1 smallest ids.
 
 What is broadcast is bounded by construction: at most ``MOST`` keys of split prefixes and of spread leaves
@@ -29,6 +30,7 @@ from tamarack.session import cut
 MOST = 1_000_000
 BITS = 1 << 23
 DIGITS = 4
+ASK = 20_000
 WIDTH = 256  # a digit's room in a key: a key is (table, length, digits)
 
 
@@ -297,7 +299,44 @@ def nearest_classes(points: DataFrame, k: int, tables: int, probes: int, leaf: i
             if oi:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(oi)), pa.array(np.concatenate(on)), pa.array(np.concatenate(oc))], names=["id", "nbr", "cos"])
 
-    return gathered.mapInArrow(best, "id bigint, nbr bigint, cos float")
+    near = cut(gathered.mapInArrow(best, "id bigint, nbr bigint, cos float"))
+    full = near.groupBy("id").count().where(F.col("count") >= min(k, n - 1)).select("id")
+    lacking = cut(points.join(full, "id", "left_anti"))
+    ids = [r.id for r in lacking.select("id").orderBy("id").toLocalIterator()]
+    if not ids or n < 2:
+        return near
+    near = near.join(lacking.select("id"), "id", "left_anti")
+    for s in range(0, len(ids), ASK):
+        near = near.unionByName(_exhaustive(points, lacking.where(F.col("id").between(ids[s], ids[min(s + ASK, len(ids)) - 1])), k, dim))
+    return near
+
+
+def _exhaustive(points: DataFrame, asking: DataFrame, k: int, dim: int) -> DataFrame:
+    """The same for at most ``ASK`` points whose leaves hold too few others: they are sent to all blocks of points,
+    each of which returns its k nearest, and the nearest of these are kept."""
+    from pyspark.sql import Window
+
+    rows = asking.orderBy("id").collect()
+    sent = points.sparkSession.sparkContext.broadcast((np.array([r.id for r in rows], np.int64), np.array([r.vec for r in rows], np.float32)))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, q = sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, ids = _matrix(b, "vec", dim), b.column("id").to_numpy()
+            for s in range(0, len(qid), 1_024):
+                sims = q[s : s + 1_024] @ x.T
+                sims[qid[s : s + 1_024, None] == ids[None]] = -9
+                m = min(k, len(ids))
+                top = np.argpartition(-sims, m - 1, axis=1)[:, :m]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(qid[s : s + 1_024], m)), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(sims, top, 1).ravel())], names=["id", "nbr", "cos"]
+                )
+
+    found = points.select("id", "vec").mapInArrow(compare, "id bigint, nbr bigint, cos float").where("cos > -5")
+    w = Window.partitionBy("id").orderBy(F.col("cos").desc(), "nbr")
+    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
 def nearest_neighbours(

@@ -38,7 +38,9 @@ FIRST = re.compile(r"[\s\"'“”„«»‘’「『《（(\[¿¡*\-•–]*([\p
 CASED = re.compile(r"[\p{Lu}\p{Ll}]")
 TOKEN = re.compile(r"[\p{L}\p{M}\p{N}]+")
 SPACELESS = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Khmer}\p{Lao}\p{Myanmar}]")
-WINDOW = 256
+MARKS = re.compile(r"[\"()\[\]«»“”„「」『』《》（）]")
+#: So many plausible stops a single sentence can hold inside.
+WINDOW = 48
 
 
 def _items(text: str) -> list[int]:
@@ -66,12 +68,17 @@ def _blocks(text: str) -> list[tuple[int, int]]:
     return list(zip(ordered, ordered[1:]))
 
 
+def _word_before(text: str, start: int, end: int) -> str:
+    m = WORD_BEFORE.search(text[max(start, end - 80) : end])
+    return m[0] if m else ""
+
+
 def _within(text: str, start: int, m: re.Match) -> bool:
     """Whether the quotation that the stop m closes stands inside a sentence."""
     close = m[0].rstrip()[-1]
     openers = [o for o, c in PAIRS.items() if c == close] or [close]
     at = max(text.rfind(o, start, m.start()) for o in openers)
-    before = text[start : max(at, start)].rstrip()
+    before = text[max(start, at - 40) : max(at, start)].rstrip()
     return at >= start and bool(before) and not STOP.search(before[-1:])
 
 
@@ -86,13 +93,13 @@ def _closing(text: str, start: int, m: re.Match, cased: bool) -> float:
         return 2.0 - (0 if cased or not embedded else 3)
     if stop.startswith(("...", "…")):
         return 0.5 if cased else -4
-    word = WORD_BEFORE.search(text, start, m.start())
+    word = _word_before(text, start, m.start())
     if not word:
         return 1.0
-    w = word[0].lower().rstrip(".")
+    w = word.lower().rstrip(".")
     last = w.rpartition(".")[2]
     score = 1.5 - (0 if cased or not embedded else 3)
-    follows = text[m.end() :].lstrip()[:1]
+    follows = text[m.end() : m.end() + 40].lstrip()[:1]
     if w in NEVER or last in NEVER and last not in ("d", "no", "re", "li", "st", "co"):
         if w == "no" and not follows.isdigit():
             return score
@@ -106,8 +113,9 @@ def _closing(text: str, start: int, m: re.Match, cased: bool) -> float:
     if len(last) == 1 and last.isalpha() and not SPACELESS.match(last):
         return -6 if tail else 1.0
     if last.isdigit():
-        before = WORD_BEFORE.search(text[start : word.start()].rstrip())
-        if before and before[0].lower() in ARTICLES:
+        end = m.start() - len(word)
+        before = text[max(start, end - 40) : end].split()
+        if before and before[-1].lower() in ARTICLES:
             return -6
         return 0.6
     return score
@@ -126,11 +134,10 @@ def _opening(text: str, at: int, cased: bool) -> float:
     return -3.0 if lower in INSIDE or word.startswith(INSIDE_THAI) else 0.5
 
 
-def _unbalanced(text: str, start: int, end: int) -> int:
+def _unbalanced(marks: str) -> int:
     stack: list[str] = []
     straight = wrong = 0
-    for i in range(start, end):
-        c = text[i]
+    for c in marks:
         if c == '"':
             straight += 1
         elif stack and c == stack[-1]:
@@ -151,8 +158,11 @@ def spans(text: str | None) -> list[tuple[int, int]]:
     out = []
     for b, e in _blocks(text):
         places: list[tuple[int, float]] = []
+        last = e
+        while last > b and text[last - 1].isspace():
+            last -= 1
         for m in STOP.finditer(text, b, e):
-            if m.end() >= e or not text[m.end() : e].strip():
+            if m.end() >= last:
                 continue
             nxt = text[m.end()]
             if not nxt.isspace() and m[0][0] not in "。！？｡।॥؟۔":
@@ -161,7 +171,7 @@ def spans(text: str | None) -> list[tuple[int, int]]:
                 if m[0][0] != "." and not nxt.isalpha():
                     continue
             score = _closing(text, b, m, cased) + _opening(text, m.end(), cased)
-            if not nxt.isspace() and m[0][0] == "." and len(WORD_BEFORE.search(text, b, m.start())[0] if WORD_BEFORE.search(text, b, m.start()) else "") < 2:
+            if not nxt.isspace() and m[0][0] == "." and len(_word_before(text, b, m.start())) < 2:
                 score -= 6
             if score > -5:
                 places.append((m.end(), score))
@@ -174,14 +184,21 @@ def spans(text: str | None) -> list[tuple[int, int]]:
         gain = [0.0, *(s for _, s in places), 0.0]
         best, back = [0.0] * len(at), [0] * len(at)
         counts = [t.start() for t in TOKEN.finditer(text, b, e)]
+        tokens_to = [bisect.bisect_left(counts, p) for p in at]
+        dense = [t.start() for t in SPACELESS.finditer(text, b, e)]
+        dense_to = [bisect.bisect_left(dense, p) for p in at]
+        found = [(t.start(), t[0]) for t in MARKS.finditer(text, b, e)]
+        marks = "".join(c for _, c in found)
+        marks_to = [bisect.bisect_left(found, (p,)) for p in at]
         for j in range(1, len(at)):
             top = None
-            end_tokens = bisect.bisect_left(counts, at[j])
             for i in range(max(0, j - WINDOW), j):
-                size = end_tokens - bisect.bisect_left(counts, at[i])
-                spaceless = SPACELESS.search(text, at[i], at[j]) is not None
-                length = 0.0 if spaceless and size else -8.0 if size == 0 else -2.5 if size == 1 else -0.8 if size == 2 else -0.5 * (size > 60)
-                s = best[i] + length - 5 * _unbalanced(text, at[i], at[j])
+                size = tokens_to[j] - tokens_to[i]
+                spaceless = dense_to[j] > dense_to[i]
+                length = 0.0 if spaceless and size else -8.0 if size == 0 else -1.0 if size == 1 else -0.3 if size == 2 else -0.5 * (size > 60)
+                s = best[i] + length 
+                if marks_to[j] > marks_to[i]:
+                    s -= 5 * _unbalanced(marks[marks_to[i] : marks_to[j]])
                 if top is None or s > top:
                     top, back[j] = s, i
             best[j] = top + gain[j]
