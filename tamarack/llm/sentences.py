@@ -161,8 +161,10 @@ def spans(text: str | None) -> list[tuple[int, int]]:
         last = e
         while last > b and text[last - 1].isspace():
             last -= 1
+        item = ITEM.match(text, b, e) or INLINE.match(text, b, e)
+        begin = item.end() if item else b
         for m in STOP.finditer(text, b, e):
-            if m.end() >= last:
+            if m.end() >= last or m.end() <= begin:
                 continue
             nxt = text[m.end()]
             if not nxt.isspace() and m[0][0] not in "。！？｡।॥؟۔":

@@ -12,7 +12,7 @@ BASE = "Which films have a ring-like band at the lower left spine but no smooth
 
 def test_words():
     assert tidy(tokens("Pls: Show W/ 820h, Không ko!")) == ["show", "with", "820", "h", "khong", "khong"]
-    assert tidy(tokens("Hi, hello - please")) == ["please"]
+    assert tidy(tokens("Hi, hello - please")) == ["hello"]
     assert one_edit("films", "fims") and one_edit("hours", "horus") and one_edit("a", "b") and not one_edit("left", "right")
     assert moved("a b c d".split(), "c d a b".split()) and not moved("a x b".split(), "b x a".split())
 
