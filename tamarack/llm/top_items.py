@@ -104,7 +104,9 @@ def top_items(
             kept = part.groupby("grp", sort=False).head(n)
         return pa.Table.from_pandas(kept[["grp", "item", "score"]], schema=pa.schema([("grp", pa.string()), ("item", pa.string()), ("score", pa.float64())]), preserve_index=False)
 
-    partial = row_groups(spark, path).groupBy("chain").applyInArrow(read, "grp string, item string, score double")
+    described = row_groups(spark, path)
+    tasks = 4 * spark.sparkContext.defaultParallelism  # a stated number: the few bytes that describe row groups must not end in one task
+    partial = described.repartition(tasks, "chain").groupBy("chain").applyInArrow(read, "grp string, item string, score double")
     once = partial.groupBy("grp", "item").agg(F.max("score").alias("score"))
     w = Window.partitionBy("grp").orderBy(F.col("score").desc(), "item")
     top = once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
