@@ -93,6 +93,8 @@ NAMES = [
     re.compile(rf"(?i:me atendió|fui atendido por)\s(?!(?i:la|el)\b)(?P<n>{_FULL})(?![\p{{L}}])"),
     re.compile(rf"(?i:tôi tên là|tên tôi là|người giao là(?: (?:anh|chị|ông|bà|cô|chú))?|cảm ơn(?: (?:anh|chị|ông|bà|cô|chú|bạn))|gặp(?: (?:anh|chị|ông|bà|cô|chú))|ký tên[:,]?)\s(?P<n>{_VI})"),
 ]
+FOLLOWED = NAMES[3]
+AFTER_NAME = re.compile(r"(?i)from support|from the shop|from customer service")
 NOT_NAME = re.compile(r"^(?i:the|a|an|my|our|your|it|i|we|you|he|she|they|this|that|see|mine|order|model|bought|support|for|after|in|so|no|and|or|but)$")
 
 
@@ -146,6 +148,9 @@ def _proposals(text: str) -> Iterator[tuple[float, int, int, str]]:
                     end -= 1
                 yield 2.0 + (m.end() - m.start()) / 1000, m.start(), end, "address"
     for p in NAMES:
+        # a pattern that opens with the name is tried only where the words after it occur at all
+        if p is FOLLOWED and not AFTER_NAME.search(text):
+            continue
         for m in p.finditer(text):
             s, e = m.span("n")
             if any(NOT_NAME.match(w) for w in re.split(r"[\s,.]+", m["n"]) if len(w) > 1):
