@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,13 @@ BROKEN = re.compile(r"(?<=\w)[-­‐]\s*\n[\s>|]*(?=\w)|­|​")
 WORD = re.compile(r"[぀-ヿ㐀-鿿฀-๿]|[^\W_]+")
 
 
+@lru_cache(maxsize=100_000)
+def _plain(word: str) -> str:
+    """A word without case and accents."""
+    w = unicodedata.normalize("NFKD", word.casefold().replace("đ", "d"))
+    return "".join(c for c in w if not unicodedata.combining(c))
+
+
 def words_of(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
     """The text's words without case, accents, mark-up and hyphenation, and where they stand in the text."""
     text = text or ""
@@ -38,8 +46,7 @@ def words_of(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
     out, at = [], []
     g = 0
     for m in WORD.finditer(clean):
-        w = unicodedata.normalize("NFKD", m[0].casefold().replace("đ", "d"))
-        w = "".join(c for c in w if not unicodedata.combining(c))
+        w = _plain(m[0])
         while g < len(glue) and glue[g][1] < m.start():
             g += 1
         if out and g < len(glue) and glue[g][1] == m.start() and at[-1][1] == glue[g][0]:
@@ -97,6 +104,9 @@ class Passages:
         if len(found_words) < self.words - self.words // 6:
             return []
         doc = np.array([self.vocab.get(w, -1) for w in found_words], np.int64)
+        # a run has at most one wrong word in six, so fewer known words than that hold none
+        if (doc >= 0).sum() < self.words - self.words // 6:
+            return []
         hits: dict[int, set[int]] = defaultdict(set)
         code = doc.tolist()
         for j in range(len(code) - GRAM + 1):
