@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -85,21 +85,18 @@ class Passages:
             for i in range(len(code) - GRAM + 1):
                 self.grams[tuple(code[i : i + GRAM])].append((k, i))
 
-    def _run(self, gains: np.ndarray) -> tuple[int, int] | None:
-        """The best stretch of at least ``words`` places whose sum isn't negative."""
+    def _run(self, gains: np.ndarray) -> bool:
+        """Whether a stretch of at least ``words`` places has a sum that isn't negative."""
         n, w = len(gains), self.words
         if n < w:
-            return None
+            return False
         sums = np.concatenate([[0], np.cumsum(gains)])
-        low = np.minimum.accumulate(sums[: n - w + 1])
-        best = sums[w:] - low
-        j = int(best.argmax())
-        if best[j] < 0:
-            return None
-        return int(np.argmin(sums[: j + 1])), j + w
+        return bool((sums[w:] >= np.minimum.accumulate(sums[: n - w + 1])).any())
 
-    def leaks(self, text: str | None) -> list[tuple]:
-        """(item, first character, end, words) of every passage that the text contains."""
+    def runs(self, text: str | None) -> list[tuple]:
+        """(item, first character, end, words) of every maximal run of every passage in the text: one that no
+        other run of the passage holds. A run begins and ends with a right word; ``words`` counts the passage's
+        words in it, wrong ones too."""
         found_words, at = words_of(text)
         if len(found_words) < self.words - self.words // 6:
             return []
@@ -118,56 +115,76 @@ class Passages:
             n = len(passage)
             if n < self.words:
                 continue
-            table = {}
-            union = np.zeros(n, bool)
-            place = np.arange(n)
-            for d in sorted(diagonals):
-                j = place + d
-                inside = (j >= 0) & (j < len(doc))
-                same = np.zeros(n, bool)
-                same[inside] = doc[j[inside]] == passage[inside]
-                table[d] = (same, inside)
-                union |= same
-            if self._run(np.where(union, 1, -ERRORS)) is None:
-                continue
-            best = None
-            for d, (same, inside) in table.items():
-                run = self._run(np.where(same, 1, np.where(inside, -ERRORS, -(10**6))))
-                if run and (best is None or run[1] - run[0] > best[0]):
-                    best = (run[1] - run[0], run[0] + d, run[1] - 1 + d)
-            if best is None and len(table) > 1:
-                best = self._bent(table, n)
-            if best:
-                out.append((self.ids[k], at[best[1]][0], at[best[2]][1], best[0]))
-        return explained(out)
-
-    def _bent(self, table: dict, n: int) -> tuple[int, int, int] | None:
-        """A run that changes to later diagonals where words were put in (or to an earlier one where one was left out)."""
-        ds = sorted(table)
-        gain = np.array([np.where(table[d][0], 1, np.where(table[d][1], -ERRORS, -(10**6))) for d in ds])
-        step = np.array([[b - a for b in ds] for a in ds])
-        ok = ((step >= 0) & (step <= GAP)) | (step == -1)
-        for a in range(n - self.words + 1):
-            if gain[:, a].max() < 1:
+            ds = np.array(sorted(diagonals))
+            j = np.arange(n) + ds[:, None]
+            inside = (j >= 0) & (j < len(doc))
+            same = inside & (doc[np.clip(j, 0, len(doc) - 1)] == passage)
+            if not self._run(np.where(same.any(axis=0), 1, -ERRORS)):
                 continue
-            score = gain[:, a].astype(float)
-            first = [a + d for d in ds]
-            for i in range(a + 1, n):
-                came = np.where(ok, score[:, None], -1e9).argmax(axis=0)
-                score = score[came] + gain[:, i]
-                first = [first[c] for c in came]
-                top = int(score.argmax())
-                if score[top] < -ERRORS * 4:
-                    break
-                if i - a + 1 >= self.words and score[top] >= 0 and gain[top, i] > 0:
-                    return i - a + 1, first[top], i + ds[top]
-        return None
+            found = [run for x, d in enumerate(ds.tolist()) for run in self._straight(same[x], d, len(doc))]
+            for part in np.split(np.arange(len(ds)), np.flatnonzero(np.diff(ds) > GAP) + 1):
+                if len(part) > 1:
+                    found += self._bent(ds[part], same[part], inside[part])
+            last = -1
+            for first, end, words in sorted(found, key=lambda f: (f[0], -f[1], -f[2])):
+                if end > last:
+                    out.append((self.ids[k], at[first][0], at[end][1], words))
+                    last = end
+        return out
 
+    def leaks(self, text: str | None) -> list[tuple]:
+        """(item, first character, end, words) of every passage that the text contains, with its longest run."""
+        best: dict = {}
+        for x in self.runs(text):
+            if x[0] not in best or x[3] > best[x[0]][3]:
+                best[x[0]] = x
+        return explained(list(best.values()))
 
-def find_leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", words: int = 15) -> DataFrame:
-    """(doc_id, item_id, start, end, words): every pair of a document and a passage it contains, with where in
-    the text. Null texts, passages and ids give none; passages shorter than ``words`` can't be found; whole
-    texts are scanned. Repeated rows count once."""
+    def _straight(self, same: np.ndarray, d: int, size: int) -> list[tuple[int, int, int]]:
+        """(first, last, words), places in the text: for each right word of a diagonal the longest run that begins there."""
+        low, high = max(0, -d), min(len(same), size - d)
+        right, w = same[low:high], self.words
+        if len(right) < w:
+            return []
+        sums = np.concatenate([[0], np.cumsum(np.where(right, 1, -ERRORS))])
+        # the last right word up to which the sum isn't negative
+        top = np.maximum.accumulate(np.where(right, sums[1:], -(10**9))[::-1])[::-1]
+        begin = np.flatnonzero(right)
+        end = np.searchsorted(-top, -sums[begin], side="right") - 1
+        out = [(a, b, b - a + 1) for a, b in zip(begin.tolist(), end.tolist()) if b - a + 1 >= w]
+        # a run of just ``words`` may have its wrong words at the ends
+        for a in np.flatnonzero(sums[w:] >= sums[:-w]).tolist():
+            there = np.flatnonzero(right[a : a + w])
+            out.append((a + int(there[0]), a + int(there[-1]), w))
+        return [(a + low + d, b + low + d, words) for a, b, words in out]
+
+    def _bent(self, ds: np.ndarray, same: np.ndarray, inside: np.ndarray) -> list[tuple[int, int, int]]:
+        """(first, last, words), places in the text, of runs that change to later diagonals where words were put in
+        (or to an earlier one where one was left out): for each right word and diagonal the longest that begins
+        at that word and ends on that diagonal."""
+        many, n = same.shape
+        gain = np.where(same, 1, np.where(inside, -ERRORS, -(10**6)))
+        # the diagonals from which each can be reached; index ``many`` stands for none
+        came = [[x for x in range(many) if 0 <= ds[y] - ds[x] <= GAP or ds[y] - ds[x] == -1] for y in range(many)]
+        came = np.array([c + [many] * (GAP + 2 - len(c)) for c in came])
+        begin, on = np.nonzero(same.T)
+        out = []
+        block = max(1, 2_000_000 // came.size)
+        for b in range(0, len(begin), block):
+            a, x = begin[b : b + block], on[b : b + block]
+            score = np.full((len(a), many + 1), -(10**9))
+            last = np.full((len(a), many), -1)
+            for i in range(int(a[0]), n):
+                score[:, :many] = np.maximum(score[:, came].max(axis=2) + gain[:, i], -(10**9))
+                new = np.flatnonzero(a == i)
+                score[new, x[new]] = 1
+                last[(score[:, :many] >= 0) & same[:, i] & (i - a[:, None] + 1 >= self.words)] = i
+            for k, y in zip(*(z.tolist() for z in np.nonzero(last >= 0))):
+                out.append((int(a[k] + ds[x[k]]), int(last[k, y] + ds[y]), int(last[k, y] - a[k] + 1)))
+        return out
+
+
+def _scanned(documents: DataFrame, items: DataFrame, read: Callable[[Passages, str], list[tuple]], doc: str, text: str, item: str, passage: str, words: int) -> DataFrame:
     rows = items.where(F.col(item).isNotNull() & F.col(passage).isNotNull()).select(item, passage).distinct()
     size = rows.agg(F.sum(F.length(passage))).first()[0] or 0
     if size > MOST_WORDS * 6:
@@ -183,14 +200,29 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", t
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = Passages(sent.value, words)
         for b in batches:
-            got = [(d, *leak) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for leak in test.leaks(t)]
+            got = [(d, *leak) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for leak in read(test, t)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([g[k] for g in got], t) for k, t in enumerate((doc_t, item_t, pa.int32(), pa.int32(), pa.int32()))],
                 names=["doc_id", "item_id", "start", "end", "words"],
             )
 
     wanted = documents.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(doc, text)
-    return wanted.mapInArrow(scan, f"doc_id {kinds[doc]}, item_id {kinds['item']}, start int, end int, words int").dropDuplicates(["doc_id", "item_id"])
+    return wanted.mapInArrow(scan, f"doc_id {kinds[doc]}, item_id {kinds['item']}, start int, end int, words int")
+
+
+def find_runs(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", words: int = 15) -> DataFrame:
+    """(doc_id, item_id, start, end, words): every maximal run of a passage in a document, with where in the
+    text. Null texts, passages and ids give none; passages shorter than ``words`` can't be found; whole
+    texts are scanned. Repeated rows count once."""
+    return _scanned(documents, items, Passages.runs, doc, text, item, passage, words).distinct()
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", words: int = 15) -> DataFrame:
+    """(doc_id, item_id, start, end, words): every pair of a document and a passage it contains, with its longest
+    run (of equal ones the first). Otherwise as ``find_runs``."""
+    best = F.max_by(F.struct("start", "end", "words"), F.struct("words", -F.col("start"), "end")).alias("best")
+    found = _scanned(documents, items, Passages.leaks, doc, text, item, passage, words)
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def without_leaks(documents: DataFrame, leaks: DataFrame) -> DataFrame:

@@ -90,7 +90,8 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.without_leaks(table(spark, d, "documents"), cut(p8_leaks(spark, d)))
+    documents = table(spark, d, "documents")
+    return leaks.without_leaks(documents, cut(leaks.find_runs(documents, table(spark, d, "eval_items"))))
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import random
 
-from tamarack.llm.leaks import Passages, find_leaks, leak_report, without_leaks, words_of
+from tamarack.llm.leaks import Passages, find_leaks, find_runs, leak_report, without_leaks, words_of
 
 P = "During the long storm the beekeeper counted the amber kettle under the glass roof because page 5891 was missing. While the oven ticked one engineer unfolded the whisk across the orchard until bell 4584 rang!"
 W = P.split()
@@ -68,3 +68,54 @@ def test_rows(spark):
     clean = without_leaks(docs.where("doc_id = 1").distinct(), got).first()
     assert clean.text == "before ! after" and clean.removed_chars == len(P) - 1
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
+
+
+def cut_out(text):
+    """The words that stay when all runs of the passage are taken out."""
+    gone = [(s, e) for _, s, e, _ in Passages([(1, P)], 15).runs(text)]
+    out, at = words_of(text)
+    return [w for w, (a, b) in zip(out, at) if not any(s <= a and b <= e for s, e in gone)]
+
+
+def test_all_runs_are_taken_out():
+    whole = " ".join(W)
+    assert cut_out(f"one {whole} two {whole} three") == ["one", "two", "three"]
+    assert cut_out("one " + " ".join(W[:16]) + " two " + " ".join(W[17:]) + " three") == ["one", "three"]  # words put in for one
+    assert cut_out("one " + " ".join(W[18:]) + " two " * 20 + " ".join(W[:17]) + " three") == ["one", *["two"] * 20, "three"]
+    bent = "one " + " ".join(W[:12] + "as it says on the sheet".split() + W[12:24] + ["and", "so", "on"] + W[24:]) + " two"
+    assert cut_out(bent) == ["one", "two"]
+    assert [x[3] for x in Passages([(1, P)], 15).leaks(bent)] == [len(W)]
+    left = "one " + " ".join(W[:10] + W[11:]) + " two"
+    assert cut_out(left) == ["one", "two"]
+
+
+def test_runs_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        p = [f"w{rng.randrange(40)}" for _ in range(36)]
+        a = rng.randrange(0, 15)
+        piece = p[a : a + rng.randrange(13, 22)]
+        for _ in range(rng.randrange(0, 5)):
+            piece[rng.randrange(len(piece))] = "zz"
+        doc = ["q"] * 4 + piece + ["q"] * rng.randrange(1, 30) + piece[: rng.randrange(1, len(piece))] + ["q"] * 4
+        want = set()
+        for i in range(36):
+            for j in range(len(doc)):
+                right = []
+                for m in range(1, min(36 - i, len(doc) - j) + 1):
+                    right.append(p[i + m - 1] == doc[j + m - 1])
+                    if m >= 15 and right.count(False) * 6 <= m and (m == 15 or right[0] and right[-1]):
+                        want.update(range(j + right.index(True), j + m - right[::-1].index(True)))
+        text = " ".join(doc)
+        at = words_of(text)[1]
+        got = {k for _, s, e, _ in Passages([(1, " ".join(p))], 15).runs(text) for k, (b, c) in enumerate(at) if s <= b and c <= e}
+        assert want <= got
+        assert got <= set(range(4, len(doc) - 4))
+
+
+def test_cleaned_rows(spark):
+    docs = spark.createDataFrame([(1, f"before {P} between {P} after"), (2, "nothing here")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(9, "b", P)], "item_id bigint, benchmark string, passage string")
+    got = find_runs(docs, items)
+    assert got.count() == 2 and find_leaks(docs, items).count() == 1
+    assert [(r.doc_id, r.text) for r in without_leaks(docs, got).collect()] == [(1, "before ! between ! after")]
