@@ -59,9 +59,9 @@ def words_of(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
 
 
 def explained(found: list[tuple]) -> list[tuple]:
-    """A stretch of text belongs to the passage that explains most of it: passages of one set resemble each
-    other, so a leak of one is often a faulty run of others. Of matches that overlap by more than half of the
-    shorter, the one with most words is kept."""
+    """The matches of one text, less those that may be chance: passages of one set resemble each other, so a leak
+    of one is often a faulty run of others. Of matches that overlap by more than half of the shorter, the one
+    with most words is kept. No query uses it: a match it drops meets the definition all the same."""
     kept: list[tuple] = []
     for x in sorted(found, key=lambda f: (-f[3], f[1], str(f[0]))):
         if all(min(x[2], y[2]) - max(x[1], y[1]) <= 0.5 * (x[2] - x[1]) for y in kept):
@@ -138,7 +138,7 @@ class Passages:
         for x in self.runs(text):
             if x[0] not in best or x[3] > best[x[0]][3]:
                 best[x[0]] = x
-        return explained(list(best.values()))
+        return list(best.values())
 
     def _straight(self, same: np.ndarray, d: int, size: int) -> list[tuple[int, int, int]]:
         """(first, last, words), places in the text: for each right word of a diagonal the longest run that begins there."""

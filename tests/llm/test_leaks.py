@@ -119,3 +119,13 @@ def test_cleaned_rows(spark):
     got = find_runs(docs, items)
     assert got.count() == 2 and find_leaks(docs, items).count() == 1
     assert [(r.doc_id, r.text) for r in without_leaks(docs, got).collect()] == [(1, "before ! between ! after")]
+
+
+def test_every_passage_that_meets_the_definition_is_found():
+    other = W[:16] + "some thing else stands here from this word on and never comes back to it".split()
+    faulty = list(W)
+    faulty[4], faulty[9] = "teh", "zz"
+    test = Passages([(1, P), (2, P), (3, " ".join(other)), (4, " ".join(faulty)), (5, " ".join(W[16:]))], 15)
+    assert sorted(x[0] for x in test.leaks(f"one {P} two")) == [1, 2, 3, 4, 5]
+    bent = " ".join(W[:12] + "as it says on the sheet".split() + W[12:])
+    assert sorted((x[0], x[3]) for x in test.leaks(bent)) == [(1, 35), (2, 35), (3, 16), (4, 35), (5, 19)]
