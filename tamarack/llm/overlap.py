@@ -3,7 +3,8 @@
 Canonical means: case, accents, punctuation, white space, short forms, units and courtesy words at either
 end are evened out, and slips are corrected against the corpus itself: a token rarer than ``RARE`` of all
 tokens becomes the common token one edit away (insertion, deletion, substitution or swap; two edits for longer words
-if there is none), the one that fits its neighbours best if there are several. Numbers are never changed. Records whose canonical words have the
+if there is none), the one that fits its neighbours best if there are several. Numbers are never changed. The
+linking word of a clause that may be moved (``mà`` before ``không có``) is left out. Records whose canonical words have the
 same hash are compared in order once per pair of different word sequences: equal, or one block of words
 moved (clauses in another order). No step lists pairs within a group but those that are the result.
 
@@ -34,6 +35,8 @@ COURTESY = tuple(
 )
 SHORT = {"w": "with", "ko": "khong", "k": "khong", "hok": "khong", "wo": "without"}
 HOURS = frozenset({"h", "hr", "hrs", "hour", "hours", "gio"})
+# a linking word that goes when its clause is moved, and what follows it
+LINK, LINKED = "ma", ("khong", "co")
 MARKS = re.compile(r"\bw/o\b")
 TOKEN = re.compile(r"[^\W\d_]+|\d+")
 
@@ -61,6 +64,11 @@ def tidy(words: list[str]) -> list[str]:
     return out
 
 
+def unlinked(words: list[str]) -> list[str]:
+    """Without the linking word before a clause, which stands only where the clause comes second."""
+    return [w for i, w in enumerate(words) if w != LINK or tuple(words[i + 1 : i + 3]) != LINKED]
+
+
 def near(word: str) -> set[str]:
     """Keys by which words one edit apart meet: the word, and the word less each letter."""
     return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
@@ -156,7 +164,7 @@ def canonical_records(questions: DataFrame) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fixed = [tidy(correct(w, known, index, pairs)) for w in b.column("words").to_pylist()]
+            fixed = [unlinked(tidy(correct(w, known, index, pairs))) for w in b.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array([" ".join(w) for w in fixed], pa.string()), pa.array([" ".join(sorted(w)) for w in fixed], pa.string())],
                 names=["record_id", "split", "source", "seq", "bag"],

@@ -40,3 +40,17 @@ def test_pairs(spark):
 def test_hot_text_is_whole(spark):
     rows = [(i, "train", "s", BASE.format(5), None) for i in range(300)] + [(1000 + i, "dev", "s", BASE.format(5), None) for i in range(20)]
     assert cross_split_pairs(questions(spark, rows)).count() == 6000
+
+
+def test_moved_clause_loses_its_linking_word(spark):
+    show, without, when = "Cho tôi xem đám mờ ở đỉnh phổi bên {}", "không có dải mờ", "chụp trong vòng {} giờ sau nhập viện"
+    rows = [(i, "train", "s", f"{show.format('trái')} mà {without}, {when.format(100 + i)}", None) for i in range(40)]
+    rows += [
+        (1000, "dev", "s", f"{without.capitalize()}, {show.format('trái').lower()}, {when.format(103)}?", None),
+        (1001, "heldout", "s", f"{without.capitalize()}, {show.format('phải').lower()}, {when.format(104)}", None),
+        (1002, "heldout", "s", f"{show.format('trái')}, {when.format(105)}", None),
+        (1003, "dev", "s", f"Ma ko co dai mo, {show.format('trái')}, {when.format(106)}", None),
+    ]
+    df = questions(spark, rows)
+    assert {tuple(r) for r in cross_split_pairs(df).collect()} == {(3, 1000), (6, 1003)}
+    assert sum(r.overlapping for r in overlap_report(df).collect()) == 2
