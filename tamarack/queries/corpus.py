@@ -235,6 +235,13 @@ def name_norms(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", X.name_norm("title").alias("norm"), X.text_key("title").alias("text_key"))
 
 
+@query()
+def name_norms_all(spark: SparkSession, d: str) -> DataFrame:
+    """``name_norms`` over titles of any script."""
+    norm = X.word_norm(F.translate("title", "_", " "))
+    return table(spark, d, "documents").where("title IS NOT NULL").select("doc_id", norm.alias("norm"), F.replace(norm, F.lit(" "), F.lit("")).alias("text_key"))
+
+
 @query()
 def word_norms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.word_norm("title").alias("norm"), X.strip_marks("title").alias("bare"), X.is_vietnamese("text").alias("vietnamese"))
@@ -249,16 +256,17 @@ def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     return document_frequency(token_index(rows.withColumn("findings", X.name_norm("findings")), "study_id", "findings"))
 
 
-@query(
-    """WITH c AS (SELECT DISTINCT concept FROM labels WHERE concept IS NOT NULL), q AS (SELECT DISTINCT title FROM documents WHERE title IS NOT NULL AND regexp_full_match(title, '[ -~]*')),
-t AS (SELECT title, list_distinct(list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g')), ' '), lambda x: x <> '')) AS a FROM q)
-SELECT x.title, y.title AS other, round(2.0 * len(list_intersect(x.a, y.a)) / (len(x.a) + len(y.a)), 6) AS dice FROM t x JOIN t y ON x.title < y.title
-WHERE 2.0 * len(list_intersect(x.a, y.a)) / (len(x.a) + len(y.a)) >= 0.8 AND len(x.a) > 0 AND len(y.a) > 0"""
-)
-def similar_titles(spark: SparkSession, d: str) -> DataFrame:
+@query()
+def inverted_index_all(spark: SparkSession, d: str) -> DataFrame:
+    """``inverted_index`` over findings of any script."""
+    rows = table(spark, d, "reports").select("study_id", "findings").distinct().where("findings IS NOT NULL")
+    return document_frequency(token_index(rows.withColumn("findings", F.translate("findings", "_", " ")), "study_id", "findings"))
+
+
+def similar(rows: DataFrame) -> DataFrame:
     """Titles whose word sets have Dice 0.8 or more. Of two such sets the smaller has at least 2/3 of the larger's
     words, so each shares one of its rarest words with the other: only these prefixes are joined."""
-    t = table(spark, d, "documents").where("title IS NOT NULL AND title RLIKE '^[ -~]*$'").select("title").distinct().withColumn("a", F.array_distinct(X.words("title"))).where(F.size("a") > 0)
+    t = rows.select("title").distinct().withColumn("a", F.array_distinct(X.words("title"))).where(F.size("a") > 0)
     long = t.select("title", F.explode("a").alias("w"))
     df = long.groupBy("w").count()
     ordered = long.join(df, "w").groupBy("title").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "w"))), lambda s: s["w"]).alias("o"))
@@ -267,3 +275,19 @@ def similar_titles(spark: SparkSession, d: str) -> DataFrame:
     pairs = prefix.join(prefix.select(F.col("title").alias("other"), "w"), "w").where("title < other").select("title", "other").distinct()
     both = pairs.join(t, "title").join(t.select(F.col("title").alias("other"), F.col("a").alias("b")), "other")
     return both.select("title", "other", F.round(X.dice(F.col("a"), F.col("b")), 6).alias("dice")).where("dice >= 0.8")
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT concept FROM labels WHERE concept IS NOT NULL), q AS (SELECT DISTINCT title FROM documents WHERE title IS NOT NULL AND regexp_full_match(title, '[ -~]*')),
+t AS (SELECT title, list_distinct(list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g')), ' '), lambda x: x <> '')) AS a FROM q)
+SELECT x.title, y.title AS other, round(2.0 * len(list_intersect(x.a, y.a)) / (len(x.a) + len(y.a)), 6) AS dice FROM t x JOIN t y ON x.title < y.title
+WHERE 2.0 * len(list_intersect(x.a, y.a)) / (len(x.a) + len(y.a)) >= 0.8 AND len(x.a) > 0 AND len(y.a) > 0"""
+)
+def similar_titles(spark: SparkSession, d: str) -> DataFrame:
+    return similar(table(spark, d, "documents").where("title IS NOT NULL AND title RLIKE '^[ -~]*$'"))
+
+
+@query()
+def similar_titles_all(spark: SparkSession, d: str) -> DataFrame:
+    """``similar_titles`` over titles of any script."""
+    return similar(table(spark, d, "documents").where("title IS NOT NULL"))

@@ -1,6 +1,8 @@
 import datetime as dt
 import itertools
 import math
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -226,3 +228,27 @@ def test_core_does_not_need_llm():
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"tamarack\.llm", p.read_text()), p
     assert dt
+
+
+def test_queries_over_all_scripts(spark, tmp_path):
+    from tamarack.queries import corpus as Q
+
+    texts = ["No effusion. No mass_effect.", "Épanchement pleural, pas de masse", "Không có tràn dịch", "छाया नहीं है।", "انصباب جنبي", "胸水なし。", "   ", None]
+    titles = ["Great red kettle", "great RED kettle!", "Très bon café noir", "très bon CAFÉ, noir", "tres bon cafe noir", "素晴らしい やかん", "素晴らしい やかん!", "ấm đun nước", None]
+    spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(texts)] + [("s0", texts[0])], "study_id string, findings string").write.parquet(str(tmp_path / "reports.parquet"))
+    spark.createDataFrame(list(enumerate(titles)), "doc_id bigint, title string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def words(t):
+        kept = "".join(c if unicodedata.category(c)[0] in "LM" or unicodedata.category(c) == "Nd" else " " for c in t.lower())
+        return kept.split()
+
+    df, tf = Counter(), Counter()
+    for t in texts[:-1]:
+        tf.update(words(t))
+        df.update(set(words(t)))
+    assert {r.term: (r.df, r.tf) for r in Q.inverted_index_all(spark, str(tmp_path)).collect()} == {w: (df[w], tf[w]) for w in tf}
+    norms = {r.doc_id: (r.norm, r.text_key) for r in Q.name_norms_all(spark, str(tmp_path)).collect()}
+    assert norms == {i: (" ".join(words(t)), "".join(words(t))) for i, t in enumerate(titles) if t}
+    sets = {t: set(words(t)) for t in titles if t}
+    want = {(a, b) for a in sets for b in sets if a < b and 2 * len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) + len(sets[b]))}
+    assert len(want) == 3 and {(r.title, r.other) for r in Q.similar_titles_all(spark, str(tmp_path)).collect()} == want
