@@ -4,7 +4,8 @@ A text is first cut where layout leaves no choice: at blank lines and before lis
 every place that may end a sentence is a candidate, and the sequence of whole spans with the best total score
 is chosen. A span's score adds up its closing (the stop, and the word before it: abbreviations, initials,
 ordinals), the opening of what follows (case, closed-class words where case tells nothing), its length, and
-whether its quotation marks and brackets are balanced. The weights are set by hand, not trained.
+whether its quotation marks and brackets are balanced. Stops before the end of a quotation inside a sentence
+are no candidates, however many they are. The weights are set by hand, not trained.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ CASED = re.compile(r"[\p{Lu}\p{Ll}]")
 TOKEN = re.compile(r"[\p{L}\p{M}\p{N}]+")
 SPACELESS = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Khmer}\p{Lao}\p{Myanmar}]")
 MARKS = re.compile(r"[\"()\[\]«»“”„「」『』《》（）]")
+QUOTES = {o: c for o, c in PAIRS.items() if o not in "([（"} | {'"': '"'}
+QUOTE = re.compile(f"[{''.join({*QUOTES, *QUOTES.values()})}]")
 #: So many plausible stops a single sentence can hold inside.
 WINDOW = 48
 
@@ -149,6 +152,26 @@ def _unbalanced(marks: str) -> int:
     return len(stack) + straight % 2 + (wrong > 0)
 
 
+def _quoted(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Places of the marks of every closed quotation that stands inside a sentence, the outermost ones."""
+    found, stack = [], []
+    for m in QUOTE.finditer(text, start, end):
+        c, at = m[0], m.start()
+        straight = c == '"'
+        k = next((k for k in reversed(range(len(stack))) if QUOTES[stack[k][0]] == c), None)
+        if k is not None and not (straight and text[at - 1].isspace()):
+            found.append((stack[k][1], at))
+            del stack[k:]
+        elif c in QUOTES and not (straight and (text[at + 1 : at + 2].strip() == "" or at > start and (text[at - 1].isalnum() or text[at - 1] in ".!?"))):
+            stack.append((c, at))
+    out: list[tuple[int, int]] = []
+    for s, t in sorted(found):
+        before = text[max(start, s - 40) : s].rstrip()
+        if before and not STOP.search(before[-1:]) and not (out and t < out[-1][1]):
+            out.append((s, t))
+    return out
+
+
 def spans(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of every sentence, without white space at its ends. Null and blank texts have none."""
     if not text or not text.strip():
@@ -163,8 +186,11 @@ def spans(text: str | None) -> list[tuple[int, int]]:
             last -= 1
         item = ITEM.match(text, b, e) or INLINE.match(text, b, e)
         begin = item.end() if item else b
+        quoted = _quoted(text, b, e)
+        opens = [s for s, _ in quoted]
+        inside = lambda p: (k := bisect.bisect_left(opens, p)) > 0 and p <= quoted[k - 1][1]
         for m in STOP.finditer(text, b, e):
-            if m.end() >= last or m.end() <= begin:
+            if m.end() >= last or m.end() <= begin or inside(m.end()):
                 continue
             nxt = text[m.end()]
             if not nxt.isspace() and m[0][0] not in "。！？｡।॥؟۔":
@@ -179,7 +205,7 @@ def spans(text: str | None) -> list[tuple[int, int]]:
                 places.append((m.end(), score))
         stops = {p for p, _ in places}
         for m in THAI_SPACE.finditer(text, b, e):
-            if m.start() not in stops:
+            if m.start() not in stops and not inside(m.start()):
                 places.append((m.start(), 2.0 + _opening(text, m.end(), cased)))
         places.sort()
         at = [b, *(p for p, _ in places), e]

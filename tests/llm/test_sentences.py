@@ -58,3 +58,13 @@ def test_rows(spark):
     got = sorted((r.record_key or "", r.place, r.start, r.sentence) for r in split_sentences(df, "study_id", "findings").collect())
     assert got == [("", 1, 0, "Three."), ("a", 1, 0, "One."), ("a", 2, 5, "Two.")]
     assert split_sentences(df.limit(0), "study_id", "findings").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 6, 60, 300])
+def test_a_quotation_is_not_split_for_its_length(n):
+    inner = " ".join(["No fever was seen."] * n)
+    for opener, closer in ('""', "«»", "“”", "„“"):
+        assert cutup(f"All is well. The note reads {opener}{inner}{closer} and gives no more. Then this.")[1:] == [f"The note reads {opener}{inner}{closer} and gives no more.", "Then this."]
+    assert len(cutup("依頼書には「" + "咳が続く。" * n + "」とあります。変化ありません。")) == 2
+    assert len(cutup(f"The note of 5\" reads {inner} It ends.")) == n + 1
+    assert len(cutup(f'The note reads "{inner} It ends.')) >= n
