@@ -18,7 +18,8 @@ CYCLE = "CYCLE"
 
 def _code(c: str) -> Column:
     digits = F.regexp_extract(F.coalesce(F.col(c), F.lit("")), r"(?i)^\s*(?:cui:\s*)?c(\d+)\s*$", 1)
-    return F.when(digits != "", F.concat(F.lit("C"), F.lpad(digits, 8, "0")))
+    padded = F.when(F.length(digits) < 8, F.lpad(digits, 8, "0")).otherwise(digits)  # lpad alone would cut longer codes
+    return F.when(digits != "", F.concat(F.lit("C"), padded))
 
 
 def hierarchy_links(edges: DataFrame) -> DataFrame:
@@ -47,7 +48,8 @@ def resolve_hierarchy(links: DataFrame, *, paths: bool = True) -> DataFrame:
 
     path runs from the root to the code. A code without a parent is its own root at depth 0; on or below a
     circle (a code that is its own parent is one) root is ``CYCLE``, depth -1 and path null. Should a code
-    have several parents, the smallest counts. Null ends are ignored; no links give no rows."""
+    have several parents, the smallest is followed and ``unfollowed_links`` tells the others. Null ends are ignored;
+    no links give no rows."""
     links = links.where(F.col("child").isNotNull() & F.col("parent").isNotNull())
     up = links.groupBy("rel", "child").agg(F.min("parent").alias("parent"))
     nodes = links.select("rel", F.col("child").alias("cui")).union(links.select("rel", F.col("parent"))).distinct()
@@ -104,6 +106,14 @@ def resolve_hierarchy(links: DataFrame, *, paths: bool = True) -> DataFrame:
     return out
 
 
+def unfollowed_links(links: DataFrame) -> DataFrame:
+    """(rel, child, parent, followed): the links that ``resolve_hierarchy`` doesn't follow, since their child has a
+    smaller parent, which is ``followed``. A hierarchy that is one has none."""
+    links = links.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).select("rel", "child", "parent").distinct()
+    up = links.groupBy("rel", "child").agg(F.min("parent").alias("followed"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return links.join(up, ["rel", "child"]).where("parent <> followed").select("rel", "child", "parent", "followed")
+
+
 def descendants(resolved: DataFrame) -> DataFrame:
     """(rel, cui, descendant, distance): one row per code and code below it, from resolved paths. The rows are
     made where the path lies; nothing is gathered by ancestor. Codes on or below circles have none."""

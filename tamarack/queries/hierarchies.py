@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.operators.hierarchy import descendants, hierarchy_links, resolve_hierarchy
+from tamarack.operators.hierarchy import descendants, hierarchy_links, resolve_hierarchy, unfollowed_links
 from tamarack.session import cut, table
 
 
@@ -22,7 +22,11 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(cut(resolve_hierarchy(hierarchy_links(table(spark, d, "edges")))))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants)}
+def p1_unfollowed(spark: SparkSession, d: str) -> DataFrame:
+    return unfollowed_links(hierarchy_links(table(spark, d, "edges")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_unfollowed)}
 
 _LINKS = """
 WITH RECURSIVE said AS (
@@ -31,7 +35,8 @@ WITH RECURSIVE said AS (
   FROM edges WHERE lower(trim(coalesce(review, ''))) <> 'drop'
 ), links AS (
   SELECT DISTINCT CASE WHEN r IN ('isa', 'inverseisa') THEN 'IS_A' ELSE 'PART_OF' END AS rel,
-    'C' || lpad(CASE WHEN r IN ('isa', 'partof') THEN s ELSE t END, 8, '0') AS child, 'C' || lpad(CASE WHEN r IN ('isa', 'partof') THEN t ELSE s END, 8, '0') AS parent
+    'C' || lpad(CASE WHEN r IN ('isa', 'partof') THEN s ELSE t END, greatest(8, length(CASE WHEN r IN ('isa', 'partof') THEN s ELSE t END))::INTEGER, '0') AS child,
+    'C' || lpad(CASE WHEN r IN ('isa', 'partof') THEN t ELSE s END, greatest(8, length(CASE WHEN r IN ('isa', 'partof') THEN t ELSE s END))::INTEGER, '0') AS parent
   FROM said WHERE r IN ('isa', 'inverseisa', 'partof', 'haspart') AND s <> '' AND t <> ''
 ), nodes AS (SELECT rel, child AS cui FROM links UNION SELECT rel, parent FROM links),
 tree(rel, cui, root, depth, path) AS (
@@ -42,6 +47,7 @@ tree(rel, cui, root, depth, path) AS (
 """
 SQL = {
     "p1_found": _LINKS + "SELECT n.rel, n.cui, coalesce(t.root, 'CYCLE') AS root, coalesce(t.depth, -1) AS depth FROM nodes n LEFT JOIN tree t ON n.rel = t.rel AND n.cui = t.cui",
+    "p1_unfollowed": _LINKS + "SELECT rel, child, parent, followed FROM (SELECT *, min(parent) OVER (PARTITION BY rel, child) AS followed FROM links) WHERE parent <> followed",
     "p1_paths": _LINKS + "SELECT n.rel, n.cui, t.path FROM nodes n LEFT JOIN tree t ON n.rel = t.rel AND n.cui = t.cui",
     "p1_descendants": _LINKS
     + """, below(rel, cui, descendant, distance) AS (

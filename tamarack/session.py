@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -19,6 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tamarack-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
@@ -30,6 +33,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table or checkpoint, wherever the shared folder is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(cut_df: DataFrame) -> None:
+    """Deletes the files of a checkpoint that nothing reads any more: what came of it has been checkpointed itself."""
+    file = cut_df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        remove(cut_df.sparkSession, file.get())
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a written table."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

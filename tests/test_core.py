@@ -143,16 +143,49 @@ def test_text_functions(spark):
     assert tuple(paths) == ("a/b/view2_x.jpg", 2)
 
 
-def test_parsing():
-    forms = [(("pleural", "effusion"), "effusion"), (("effusion",), "fluid"), (("edema",), "edema")]
-    p = lambda t: parsing.parse(t, forms)
-    assert p("No pleural effusion but edema") == [("effusion", "ABSENT"), ("edema", "PRESENT")]
-    assert p("possible edema") == [("edema", "UNCERTAIN")] and p("edema is absent") == [("edema", "ABSENT")]
-    assert p("no, edema") == [("edema", "PRESENT")] and p("edema. no edema") == [("edema", "ABSENT")]
-    assert p("") == [] and p(None) == []
-    t = "1. Clear lungs. No edema here.\nEdema? Maybe."
-    assert [t[a:b] for a, b in parsing.sentence_spans(t)][:2] == ["1. Clear lungs.", "No edema here.\nEdema?"]
-    assert parsing.pick_evidence("Edema seen. No edema now.", {"edema": "ABSENT"}, forms)[0][1:3] == (12, 25)
+def test_cues_reach_and_scope():
+    forms = [(("pleural", "effusion"), "effusion"), (("effusion",), "fluid"), (("pneumothorax",), "air"), (("edema",), "edema"), (("phù",), "edema", "vi"), (("no", "finding"), "none")]
+    p = lambda t: dict(parsing.parse(t, forms))
+    assert p("no effusion and pneumothorax") == {"fluid": "ABSENT", "air": "ABSENT"} and p("no effusion with edema") == {"fluid": "ABSENT", "edema": "PRESENT"}
+    assert p("No pleural effusion but edema") == {"effusion": "ABSENT", "edema": "PRESENT"} and p("no, edema") == {"edema": "PRESENT"}
+    assert p("no a b c d e edema") == {"edema": "ABSENT"} and p("no a b c d e f edema") == {"edema": "PRESENT"}
+    assert p("edema a b c excluded") == {"edema": "ABSENT"} and p("edema a b c d excluded") == {"edema": "PRESENT"}
+    assert p("possible edema") == {"edema": "UNCERTAIN"} and p("no possible edema") == {"edema": "UNCERTAIN"} and p("possible no edema") == {"edema": "ABSENT"}
+    assert p("edema without effusion") == {"edema": "PRESENT", "fluid": "ABSENT"} and p("edema. no edema") == {"edema": "ABSENT"}
+    assert p("no finding and edema") == {"none": "PRESENT", "edema": "PRESENT"} and p("không có phù và edema") == {"edema": "ABSENT"}
+    assert p("no evidence of edema") == {"edema": "ABSENT"} and p("cannot exclude edema") == {"edema": "UNCERTAIN"} and p("") == p(None) == {}
+    # equally near cues: uncertain
+    assert p("edema suspected") == {"edema": "UNCERTAIN"} and p("absent a edema a likely") == {"edema": "UNCERTAIN"}
+
+
+def test_forms_views_and_language():
+    g = parsing.Grammar(
+        [(("lower", "lobe"), "lobe"), (("lobe", "mass", "lesion", "x"), "late"), (("mass",), "mass"), (("phù",), "edema", "vi")], [(("pa",), "PA"), (("thẳng",), "FRONTAL", "vi")], [("phù", "hợp")]
+    )
+    assert g.parse("lower lobe mass lesion x").mentions == (("lobe", "PRESENT"), ("mass", "PRESENT"))  # from left to right
+    r = g.parse("no mass on PA and pa")
+    assert r.views == ("PA",) and r.exclude == ["mass"] and r.include == [] and r.language == "en"
+    assert g.parse("phù hợp").mentions == () and g.parse("phu, phù").language == "vi" and g.parse("mass thẳng").views == ("FRONTAL",)
+
+
+def test_sentences_and_evidence():
+    cut = lambda t: [t[a:b] for a, b in parsing.sentence_spans(t)]
+    assert cut("1. Clear lungs. No edema here.\nEdema? Maybe\nmore. 2.") == ["1. Clear lungs.", "No edema here.", "Edema?", "Maybe\nmore."]
+    assert cut("One.\nTwo.\nThree.") == ["One.", "Two.", "Three."] and cut("2.5 cm a.b") == ["2.5 cm a.b"] and cut(" \n") == cut(None) == []
+    assert cut("  x  ") == ["x"] and cut("1. 2. Both. 123. alone") == ["1. 2. Both.", "123.", "alone"]
+    forms = [(("edema",), "edema"), (("mass",), "mass")]
+    assert parsing.pick_evidence("Edema seen. No edema now.", {"edema": "ABSENT", "mass": "PRESENT"}, forms) == [("edema", 12, 25, "ABSENT")]
+    assert parsing.pick_evidence("Edema.\nEdema.", {"edema": "ABSENT"}, forms) == [("edema", 0, 6, "PRESENT")]
+    assert parsing.wanted_polarity([("a", "UNCERTAIN")], ["b"]) == {"a": "UNCERTAIN", "b": "ABSENT"}
+    assert parsing.best_sentence("a b. c d a. a d.", ["a", "d"]) == (5, 11) and parsing.best_sentence("x.", ["a"]) is None
+
+
+def test_parsing_over_columns(spark):
+    df = spark.createDataFrame([(1, "No edema. Mass."), (2, None), (3, "")], "k int, t string")
+    forms = [(("edema",), "edema"), (("mass",), "mass")]
+    assert {tuple(r) for r in parsing.parse_column(df, "k", "t", forms).collect()} == {(1, "edema", "ABSENT", 1), (1, "mass", "PRESENT", 2)}
+    got = parsing.evidence_column(df, "k", "t", {"edema": "ABSENT"}, forms).collect()
+    assert [tuple(r) for r in got] == [(1, "edema", 0, 9, "No edema.", "ABSENT")]
 
 
 def test_contracts_sources_and_cache(spark, tmp_path):

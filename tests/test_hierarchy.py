@@ -1,4 +1,4 @@
-from tamarack.operators.hierarchy import descendants, hierarchy_links, resolve_hierarchy
+from tamarack.operators.hierarchy import descendants, hierarchy_links, resolve_hierarchy, unfollowed_links
 
 EDGES = "src string, rel string, dst string, review string, root string, depth int"
 
@@ -69,3 +69,11 @@ def test_salted_lookup_splits_hot_keys(spark):
     look = spark.range(60_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     out = salted_lookup(rows, look, "k")
     assert out.count() == 60_000 and out.where("v IS NULL OR v <> k * 2").count() == 0
+
+
+def test_long_codes_stay_whole_and_other_parents_are_told(spark):
+    long = [("C123456781", "IS_A", c(1)), ("C123456782", "IS_A", c(2)), ("c12", "IS_A", c(1))]
+    got = found(resolve_hierarchy(hierarchy_links(edges(spark, long)), paths=False))
+    assert got["IS_A", "C123456781"] == (c(1), 1) and got["IS_A", "C123456782"] == (c(2), 1) and got["IS_A", c(12)] == (c(1), 1)
+    two = hierarchy_links(edges(spark, [(c(3), "IS_A", c(1)), (c(3), "IS_A", c(2)), (c(3), "PART_OF", c(2))]))
+    assert {tuple(r) for r in unfollowed_links(two).collect()} == {("IS_A", c(3), c(2), c(1))}
