@@ -1,6 +1,6 @@
 import random
 
-from tamarack.llm.top_items import row_groups, top_items, write_clustered
+from tamarack.llm.top_items import best_of_chain, row_groups, top_items, write_clustered
 
 SCHEMA = "request_id bigint, column_name string, study_id string, score double, grp string, place int"
 
@@ -37,3 +37,13 @@ def test_hot_group_has_a_chain_of_row_groups(spark):
     path = write_clustered(hits(spark, rows), ["request_id", "column_name"], "study_id", "score", row_group_bytes=64 << 10)
     chains = row_groups(spark, path).groupBy("chain").count().collect()
     assert max(c["count"] for c in chains) >= 3
+    hot = [(r.highest, r.file, r.rg) for r in row_groups(spark, path).collect() if r.chain.startswith("g")]
+    kept, read = best_of_chain(hot, 10, single=True)
+    assert read == 1 < len(hot) and set(kept["item"]) == {s for _, _, s in brute(rows, 10)}
+
+
+def test_ties_in_the_order_of_the_items_type(spark):
+    df = spark.createDataFrame([(1, i, 1.0) for i in (9, 10, 100, 2)], "g int, item bigint, score double")
+    assert [(r["item"], r.place) for r in top_items(df, ["g"], "item", "score", 3).orderBy("place").collect()] == [(2, 1), (9, 2), (10, 3)]
+    days = df.selectExpr("g", "date_add(DATE'2024-01-01', CAST(item AS INT)) AS item", "score")
+    assert [str(r["item"]) for r in top_items(days, ["g"], "item", "score", 2).orderBy("place").collect()] == ["2024-01-03", "2024-01-10"]
