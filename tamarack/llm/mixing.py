@@ -12,7 +12,6 @@ On the driver there are only blocks: at most ``BLOCKS`` for each target source a
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -21,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.llm.vocabulary import DEFAULT, PATTERN, ranks
 from tamarack.session import cut
 
 BLOCKS = 2_048
@@ -33,13 +33,10 @@ def source_name(c: str) -> Column:
     return F.when(s != "", s)
 
 
-def token_counts(documents: DataFrame, vocabulary: str | None = None, *, doc: str = "doc_id", text: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """(doc_id, tokens, *keep). vocabulary: path of a byte-level BPE's ranks; by default the installed 50k one.
-    The file is read once on the driver. A null text has 0 tokens."""
-    import public_tokenizers
-
-    content = Path(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
-    pattern = public_tokenizers.PATTERN
+def token_counts(documents: DataFrame, vocabulary: str = DEFAULT, *, pattern: str = PATTERN, doc: str = "doc_id", text: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, tokens, *keep). vocabulary: path of a byte-level BPE's ranks, pattern: how it cuts texts. The file is
+    read once on the driver. A null text has 0 tokens."""
+    content = Path(vocabulary).read_bytes()
     sent = documents.sparkSession.sparkContext.broadcast(content)
     rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), *keep)
     others = [f for f in rows.schema.fields if f.name != "text"]
@@ -47,8 +44,7 @@ def token_counts(documents: DataFrame, vocabulary: str | None = None, *, doc: st
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(sent.value), special_tokens={})
         for b in batches:
             n = [len(encoding.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
             names = [f.name for f in others]
@@ -84,7 +80,7 @@ def split_tree(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return np.vstack([split_tree(part, left, rng), split_tree(counts - part, shards - left, rng)])
 
 
-def mix(documents: DataFrame, targets: DataFrame, *, total: int | None = None, shards: int = 16, seed: int = 9, vocabulary: str | None = None) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, *, total: int | None = None, shards: int = 16, seed: int = 9, vocabulary: str = DEFAULT) -> DataFrame:
     """(doc_id, source, copy, shard, draw, tokens): the mixture, one row per document and copy; each shard is to be
     sorted by draw. Documents without id, with an unknown or null source, or without tokens take no part. Of
     repeated ids the row with the smallest source and size counts. No targets or no documents give no rows."""

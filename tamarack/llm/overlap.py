@@ -1,15 +1,20 @@
 """The same or nearly the same records across splits, by hashes of canonical texts.
 
 Canonical means: case, accents, punctuation, white space, short forms, units and courtesy words at either
-end are evened out, and slips are corrected against the corpus itself: a token rarer than ``RARE`` of all
-tokens becomes the common token one edit away (insertion, deletion, substitution or swap; two edits for longer words
-if there is none), the one that fits its neighbours best if there are several. Numbers are never changed. The
-linking word of a clause that may be moved (``mà`` before ``không có``) is left out. Records whose canonical words have the
-same hash are compared in order once per pair of different word sequences: equal, or one block of words
-moved (clauses in another order). No step lists pairs within a group but those that are the result.
-
-What is broadcast: tokens with at least ``RARE`` and word pairs with at least a tenth of that share of all,
-hence at most 1/RARE and 10/RARE entries.
+end are evened out, and slips are corrected. What is a slip doesn't depend on how rare a word is: words of a
+fixed dictionary (the whole words of a public tokenizer's vocabulary), strings formed like a Vietnamese
+syllable and numbers are never changed, so ``lift`` doesn't become ``left`` in any corpus. A string that is no word
+in that sense becomes the common word of the corpus one edit away (insertion, deletion, substitution or swap;
+two edits for longer words if there is none) that was seen beside one of its neighbours, the one that fits
+them best if there are several; a slip that makes another word of the dictionary stays. The linking word of a
+clause that may be moved (``mà`` before ``không có``) is left out.
+
+Records whose canonical words have the same hash are one request; those with the same words in another order
+are compared once per pair of different word sequences: one block of words moved (clauses in another order).
+
+What is broadcast: the dictionary, of fixed size, tokens with at least ``RARE`` and word pairs with at least a
+tenth of that share of all, hence at most 1/RARE and 10/RARE entries; the last two are only what slips are
+corrected to.
 """
 
 from __future__ import annotations
@@ -22,9 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.llm.vocabulary import DEFAULT, whole_words
 from tamarack.session import cut
 
 RARE = 1e-4
+# fixed values: how a Vietnamese syllable without its marks is formed: opening, vowels, ending
+SYLLABLE = re.compile(
+    r"(?:ngh|ng|nh|gh|gi|kh|ph|qu|th|tr|ch|[bcdghklmnpqrstvx])?"
+    r"(?:uye|uya|uyu|oai|oay|oeo|uay|uoi|uou|ieu|yeu|ai|ao|au|ay|eo|eu|ia|ie|iu|oa|oe|oi|oo|ua|ue|ui|uo|uu|uy|ye|a|e|i|o|u|y)"
+    r"(?:ng|nh|ch|[cmnpt])?"
+)
 # fixed values
 COURTESY = tuple(
     tuple(x.split())
@@ -99,16 +111,18 @@ def edits(a: str, b: str) -> int:
     return one[-1]
 
 
-def correct(words: list[str], known: dict[str, int], index: dict[str, list[str]], pairs: dict[tuple[str, str], int]) -> list[str]:
+def correct(words: list[str], known: dict[str, int], index: dict[str, list[str]], pairs: dict[tuple[str, str], int], dictionary: frozenset[str]) -> list[str]:
+    """Words of the dictionary, Vietnamese syllables, numbers, words in ``known`` and strings below three letters stay."""
     out = list(words)
     for i, w in enumerate(words):
-        if w in known or w.isdigit() or len(w) < 3:
+        if w in known or w.isdigit() or len(w) < 3 or w in dictionary or SYLLABLE.fullmatch(w):
             continue
         fits = {k for key in near(w) for k in index.get(key, ()) if one_edit(w, k)}
         if not fits and len(w) > 4:
             fits = {k for less in near(w) for key in near(less) for k in index.get(key, ()) if len(k) > 4 and edits(w, k) == 2}
+        left, right = (out[i - 1] if i else "^"), (words[i + 1] if i + 1 < len(words) else "$")
+        fits = {k for k in fits if (left, k) in pairs or (k, right) in pairs}
         if fits:
-            left, right = (out[i - 1] if i else "^"), (words[i + 1] if i + 1 < len(words) else "$")
             out[i] = max(sorted(fits), key=lambda k: ((pairs.get((left, k), 0) + 1) * (pairs.get((k, right), 0) + 1), known[k]))
     return out
 
@@ -132,11 +146,12 @@ def split_name(c: Column) -> Column:
     return F.when(s.isin("train", "dev", "heldout"), s)
 
 
-def canonical_records(questions: DataFrame) -> DataFrame:
+def canonical_records(questions: DataFrame, dictionary: str = DEFAULT) -> DataFrame:
     """(record_id, split, source, seq, bag): the canonical words of each record (seq, space-separated) and the
     hash of its words in alphabetical order (bag). split is train, dev, heldout or null, source null stays.
     The text is question, or query where question is null or blank. Records without id or without words are
-    left out; repeated rows count once; a record with several texts keeps each."""
+    left out; repeated rows count once; a record with several texts keeps each. dictionary: path of a
+    vocabulary file (see ``vocabulary``)."""
     text = F.when(F.trim(F.coalesce("question", F.lit(""))) != "", F.col("question")).otherwise(F.col("query"))
     rows = questions.where("record_id IS NOT NULL").select("record_id", split_name(F.col("split")).alias("split"), "source", text.alias("text")).where("text IS NOT NULL")
 
@@ -161,10 +176,11 @@ def canonical_records(questions: DataFrame) -> DataFrame:
     for w in known:
         for key in near(w):
             index.setdefault(key, []).append(w)
+    fixed_words = questions.sparkSession.sparkContext.broadcast(frozenset(x for w in whole_words(dictionary) for x in tokens(w)))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fixed = [unlinked(tidy(correct(w, known, index, pairs))) for w in b.column("words").to_pylist()]
+            fixed = [unlinked(tidy(correct(w, known, index, pairs, fixed_words.value))) for w in b.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array([" ".join(w) for w in fixed], pa.string()), pa.array([" ".join(sorted(w)) for w in fixed], pa.string())],
                 names=["record_id", "split", "source", "seq", "bag"],

@@ -54,3 +54,26 @@ def test_moved_clause_loses_its_linking_word(spark):
     df = questions(spark, rows)
     assert {tuple(r) for r in cross_split_pairs(df).collect()} == {(3, 1000), (6, 1003)}
     assert sum(r.overlapping for r in overlap_report(df).collect()) == 2
+
+
+def test_words_of_the_dictionary_are_no_slips_however_rare(spark):
+    ask = "Show films where the patient has a mass on the {} side within {} hours"
+    rows = [(i, "train", "s", ask.format("left" if i % 2 else "right", 100 + i), None) for i in range(400)]
+    rows += [
+        (1000, "dev", "s", ask.format("lift", 101), None),
+        (1001, "dev", "s", ask.format("night", 102), None),
+        (1002, "dev", "s", ask.replace("mass", "mask").format("left", 103), None),
+        (1003, "dev", "s", ask.format("lfet", 105), None),
+        (1004, "dev", "s", ask.replace("mass", "masss").format("left", 107), None),
+        (1005, "dev", "s", ask.format("zzleftzz", 109), None),
+    ]
+    assert {tuple(r) for r in cross_split_pairs(questions(spark, rows)).collect()} == {(5, 1003), (7, 1004)}
+
+
+def test_dictionary_and_syllables():
+    from tamarack.llm.overlap import SYLLABLE
+    from tamarack.llm.vocabulary import whole_words
+
+    words = whole_words()
+    assert {"left", "lift", "night", "mask"} <= words and not {"lfet", "masss", "hoours"} & words
+    assert all(SYLLABLE.fullmatch(w) for w in ("khong", "nghieng", "quanh", "u", "xuong")) and not SYLLABLE.fullmatch("khng") and not SYLLABLE.fullmatch("film")
