@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import blank_to_null, hex_mod, image_key, image_path, view_index
+from tamarack.session import running_sums
 
 
 def eligible(rows: DataFrame, *, projection: str, text: Sequence[str], path: str, available: DataFrame | None = None, views: Sequence[str] = ("AP", "PA")) -> DataFrame:
@@ -54,10 +55,13 @@ def hash_split(rows: DataFrame, key: str, fraction: float, seed: int) -> DataFra
 
 
 def seeded_sample(rows: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
-    """A share of the rows, at least one: the first in the order of a seeded hash."""
+    """A share of the rows, at least one: the first in the order of a seeded hash, ties by key, then by all columns. They are
+    numbered by running sums over range partitions, so a large share doesn't pass through one task."""
     n = rows.count()
     k = max(1, int(round(n * fraction))) if n else 0
-    return rows.withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)).orderBy("_h", key).limit(k).drop("_h")
+    order = [F.col("_h"), F.col(key), F.xxhash64(*rows.columns)]
+    hashed = rows.withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256))
+    return running_sums(hashed, [], order, {"_n": F.lit(1)}).where(F.col("_n") < k).drop("_h", "_n")
 
 
 def fingerprint(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.session import running_sums
 
-def auroc(rows: DataFrame, by: Sequence[str], score: str, positive: Column, negative: Column) -> DataFrame:
+
+def auroc(rows: DataFrame, by: Sequence[str], score: str, positive: Column, negative: Column, weight: str | None = None) -> DataFrame:
     """(*by, n_pos, n_neg, auroc): Mann-Whitney with average ranks for ties, over rows that are one or the other;
-    null where a class is empty. Ties are counted per distinct score, so no group of rows is gathered: distinct
-    scores of a group are ranked by a running sum."""
-    per = rows.where(positive | negative).groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(negative).alias("q"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = per.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    null where a class is empty. Ties are counted per distinct score, and distinct scores are ranked by running
+    sums over range partitions, so neither a group nor a score is gathered. ``weight`` counts rows several times."""
+    n = F.lit(1) if weight is None else F.col(weight)
+    per = rows.where(positive | negative).groupBy(*by, score).agg(F.sum(F.when(positive, n).otherwise(0)).alias("p"), F.sum(F.when(negative, n).otherwise(0)).alias("q"))
+    won = running_sums(per, by, [F.col(score)], {"below": F.col("q")})
     return won.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u")).select(
         *by, "n_pos", "n_neg", F.round(F.try_divide("u", F.col("n_pos") * F.col("n_neg")), 6).alias("auroc")
     )
@@ -99,20 +101,25 @@ def percentiles(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def _heads(counts: DataFrame, by: Sequence[str], key: str, n: str) -> DataFrame:
+    """counts with rank (from 0) and before, the sum of what is more frequent, and the group's total."""
+    run = running_sums(counts, by, [F.col(n).desc(), F.col(key)], {"_rank": F.lit(1), "_before": F.col(n)})
+    total = counts.groupBy(*by).agg(F.sum(n).alias("_total")).select(F.struct(*by).alias("_g"), "_total")
+    return run.withColumn("_g", F.struct(*by)).join(total, "_g").drop("_g")
+
+
 def coverage_curve(counts: DataFrame, by: Sequence[str], key: str, n: str, levels: Sequence[float]) -> DataFrame:
-    """(*by, level, needed): the fewest of the most frequent keys that make up a share of all."""
-    w = Window.partitionBy(*by).orderBy(F.col(n).desc(), key)
-    run = counts.select(*by, key, F.row_number().over(w).alias("rn"), F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"), F.sum(n).over(Window.partitionBy(*by)).alias("total"))
-    long = run.select(*by, "rn", "cum", "total", F.explode(F.array(*[F.lit(float(x)) for x in levels])).alias("level"))
-    return long.where(F.col("cum") >= F.col("level") * F.col("total") - 1e-9).groupBy(*by, "level").agg(F.min("rn").cast("bigint").alias("needed"))
+    """(*by, level, needed): the fewest of the most frequent keys that make up a share of all; no group is gathered."""
+    run = _heads(counts, by, key, n)
+    long = run.select(*by, (F.col("_rank") + 1).alias("rn"), (F.col("_before") + F.col(n)).alias("cum"), "_total", F.explode(F.array(*[F.lit(float(x)) for x in levels])).alias("level"))
+    return long.where(F.col("cum") >= F.col("level") * F.col("_total") - 1e-9).groupBy(*by, "level").agg(F.min("rn").cast("bigint").alias("needed"))
 
 
 def scope_bands(counts: DataFrame, by: Sequence[str], key: str, n: str, levels: Sequence[int] = (80, 90, 95)) -> DataFrame:
     """(*by, key, n, band): the head of a vocabulary and the coverage level at which each key comes in."""
-    w = Window.partitionBy(*by).orderBy(F.col(n).desc(), key)
-    before = F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / F.sum(n).over(Window.partitionBy(*by))
+    run = _heads(counts, by, key, n).withColumn("before", F.col("_before") / F.col("_total"))
     band = F.coalesce(*[F.when(F.col("before") < level / 100 - 1e-9, F.lit(level)) for level in levels])
-    return counts.withColumn("before", before).withColumn("band", band).where("band IS NOT NULL").select(*by, key, n, "band")
+    return run.withColumn("band", band).where("band IS NOT NULL").select(*by, key, n, "band")
 
 
 def top_pairs(counts: DataFrame, keys: Sequence[str], n: str, coverage: float, most: int) -> DataFrame:
@@ -124,20 +131,29 @@ def top_pairs(counts: DataFrame, keys: Sequence[str], n: str, coverage: float, m
     return head.withColumn("_before", F.coalesce(F.sum(n).over(w), F.lit(0)) / F.col("_t")).where(F.col("_before") < coverage).select(*keys, n, F.round(F.col(n) / F.col("_t"), 6).alias("share"))
 
 
-def bootstrap_mean_diff(pairs: DataFrame, a: str, b: str, rounds: int, seed: int) -> DataFrame:
-    """(n, mean, low, high, wins, losses, ties) of paired differences, with a 95 % percentile interval by the Poisson
-    bootstrap: every row draws a Poisson(1) weight per round from a seeded hash, so rounds are sums over
-    partitions and no group is gathered. Rows lacking either value are left out."""
-    d = pairs.select((F.col(a).cast("double") - F.col(b).cast("double")).alias("d"), F.xxhash64(*pairs.columns).alias("h")).where("d IS NOT NULL AND NOT isnan(d)")
-    drawn = d.select("d", "h", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    u = F.pmod(F.xxhash64("h", "round", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    cuts, p, total = [], 0.36787944117144233, 0.0
+def poisson_weight(h: Column) -> Column:
+    """A Poisson(1) draw from a hash: how often a row counts in a round of a bootstrap."""
+    u = F.pmod(h, F.lit(1 << 52)) / float(1 << 52)
+    steps, p, total = [], 0.36787944117144233, 0.0
     for i in range(8):
         total += p
-        cuts.append(total)
+        steps.append(total)
         p /= i + 1
-    weight = sum(((u >= c).cast("int") for c in cuts), F.lit(0))
-    means = drawn.withColumn("w", weight).groupBy("round").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
+    return sum(((u >= c).cast("int") for c in steps), F.lit(0))
+
+
+def paired_difference(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(n, mean, wins, losses, ties) of paired differences; rows lacking either value are left out."""
+    d = pairs.select((F.col(a).cast("double") - F.col(b).cast("double")).alias("d")).where("d IS NOT NULL AND NOT isnan(d)")
+    return d.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses"), F.count_if(F.col("d") == 0).alias("ties"))
+
+
+def bootstrap_mean_diff(pairs: DataFrame, a: str, b: str, rounds: int, seed: int) -> DataFrame:
+    """(n, mean, wins, losses, ties, low, high) of paired differences, with a 95 % percentile interval by the Poisson
+    bootstrap: every row draws its weight per round from a seeded hash, so rounds are sums over partitions and no
+    group is gathered. Rows lacking either value are left out."""
+    d = pairs.select((F.col(a).cast("double") - F.col(b).cast("double")).alias("d"), F.xxhash64(*pairs.columns).alias("h")).where("d IS NOT NULL AND NOT isnan(d)")
+    drawn = d.select("d", "h", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("w", poisson_weight(F.xxhash64("h", "round", F.lit(seed))))
+    means = drawn.groupBy("round").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
     ci = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    point = d.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses"), F.count_if(F.col("d") == 0).alias("ties"))
-    return point.crossJoin(ci)
+    return paired_difference(pairs, a, b).crossJoin(ci)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.session import all_of
+from tamarack.session import all_of, running_sums
 
 SILENT = "NOT_MENTIONED"
 # fixed values: the sources in order of priority, and the four states
@@ -82,20 +82,23 @@ def strata(resolved: DataFrame) -> DataFrame:
     return resolved.select("study_id").distinct().join(rarest, "study_id", "left").select("study_id", F.coalesce("stratum", F.lit("none")).alias("stratum"))
 
 
-def interleave(assigned: DataFrame, seed: int) -> DataFrame:
+def interleave(assigned: DataFrame, seed: int, pinned: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """(study_id, stratum, rank_in_manifest): strata spread evenly over the order, so that every prefix keeps their
-    mix; order within a stratum by the hash of seed and study. Ranks are contiguous from 0: a range-partitioned
-    sort, and a running offset over the partitions' sizes."""
-    from tamarack.session import cut
-
-    h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("study_id")), 256)
-    w = Window.partitionBy("stratum")
-    spread = (F.row_number().over(w.orderBy("h", "study_id")) - 0.5) / F.count(F.lit(1)).over(w)
-    ordered = assigned.withColumn("h", h).withColumn("spread", spread).sort("spread", "h", "study_id")
-    placed = cut(ordered.withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id()))
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.join(F.broadcast(offsets.select("part", "first", "offset")), "part").select("study_id", "stratum", (F.col("id") - F.col("first") + F.col("offset")).alias("rank_in_manifest"))
+    mix; order within a stratum by the hash of seed and study. Pinned studies come first; one that isn't there is
+    an error. Ranks are contiguous from 0, ``limit`` keeps a prefix. Neither a stratum nor the whole is
+    sorted in one task: both numberings are running sums over range partitions."""
+    hashed = assigned.select("study_id", "stratum").withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("study_id")), 256))
+    first = F.col("study_id").isin(*pinned) if pinned else F.lit(False)
+    if pinned:
+        unknown = set(pinned) - {r.study_id for r in assigned.where(first).select("study_id").distinct().collect()}
+        if unknown:
+            raise ValueError(f"pinned studies that aren't there: {sorted(unknown)}")
+    placed = running_sums(hashed, ["stratum"], [F.col("h"), F.col("study_id")], {"_j": F.lit(1)})
+    sizes = assigned.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))  # a row per concept
+    spread = placed.join(F.broadcast(sizes), "stratum").withColumn("_spread", (F.col("_j") + 0.5) / F.col("_n")).withColumn("_pin", (~first).cast("int"))
+    ranked = running_sums(spread, [], [F.col("_pin"), F.col("_spread"), F.col("h"), F.col("study_id")], {"rank_in_manifest": F.lit(1)})
+    out = ranked.select("study_id", "stratum", F.col("rank_in_manifest").cast("bigint").alias("rank_in_manifest"))
+    return out if limit is None else out.where(F.col("rank_in_manifest") < limit)
 
 
 def constraint(include: Sequence[tuple[str, str]], exclude: Sequence[str], *, absence: str = "exclude_present", uncertainty: str = "EXCLUDE") -> Column:

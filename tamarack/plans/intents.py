@@ -179,19 +179,3 @@ def zscore(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def fuse(df: DataFrame, kg: str, cosine: str, weight: float) -> DataFrame:
     """z(kg) + weight * z(cosine) over the whole corpus, as column ``fused``; filters come after."""
     return zscore(df, [kg, cosine]).withColumn("fused", F.col(kg) + F.lit(weight) * F.col(cosine))
-
-
-def reference_score(i: Intent, z: dict[str, float]) -> float:
-    """The closed form of intent_score in Python, for tests."""
-    sig = lambda x: 1 / (1 + math.exp(-x))
-    v = [max(-CLIP, min(CLIP, z[p.column])) for p in i.parts]
-    yes = i.polarity == "PRESENT"
-    if i.combine == "single":
-        return math.log(sig(v[0] if yes else -v[0]))
-    if i.combine == "weighted":
-        return sum(p.weight * math.log(sig(x)) for p, x in zip(i.parts, v)) if yes else math.log(sum(p.weight * sig(-x) for p, x in zip(i.parts, v)))
-    if i.combine == "max":
-        return math.log(max(map(sig, v))) if yes else math.log(1 - max(map(sig, v)))
-    w = [p.weight if i.combine == "weighted_noisy_or" else 1.0 for p in i.parts]
-    none = math.prod(1 - a * sig(x) for a, x in zip(w, v))
-    return math.log(1 - none) if yes else math.log(none)

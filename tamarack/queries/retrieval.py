@@ -340,24 +340,101 @@ def top_pairs(spark: SparkSession, d: str) -> DataFrame:
     return E.top_pairs(_counts(spark, d), ["concept", "study_id"], "n", 0.05, 500)
 
 
-@query()
-def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+def _two_gains(spark: SparkSession, d: str) -> DataFrame:
     top = cut(ranked(spark, d))
     judged = cut(_judged(spark, d, top))
     by = ["request_id", "concept"]
     a = E.ndcg(top, judged, by, "study_id", "grade", 10)
-    b = E.ndcg(top, judged, by, "study_id", "grade", 10, exponential=True).withColumnRenamed("ndcg", "b")
-    return E.bootstrap_mean_diff(a.join(b, by), "ndcg", "b", 200, 20)
+    return a.join(E.ndcg(top, judged, by, "study_id", "grade", 10, exponential=True).withColumnRenamed("ndcg", "b"), by)
+
+
+@query(
+    "WITH a AS (" + RANKED + _NDCG.format(gain="j.grade") + "), b AS (" + RANKED + _NDCG.format(gain="(pow(2, j.grade) - 1)") + ")"
+    + " SELECT count(*) AS n, round(avg(a.ndcg - b.ndcg), 6) AS mean, count(*) FILTER (a.ndcg > b.ndcg) AS wins, count(*) FILTER (a.ndcg < b.ndcg) AS losses, count(*) FILTER (a.ndcg = b.ndcg) AS ties FROM a JOIN b USING (request_id, concept)"
+)
+def paired_difference(spark: SparkSession, d: str) -> DataFrame:
+    return E.paired_difference(_two_gains(spark, d), "ndcg", "b").withColumn("mean", F.round("mean", 6))
+
+
+@query()
+def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    return E.bootstrap_mean_diff(_two_gains(spark, d), "ndcg", "b", 200, 20)
+
+
+def _rated(spark: SparkSession, d: str) -> DataFrame:
+    """(concept, study_id, score, status): each study's best finite score of a concept over all requests, and its state."""
+    best = ranked(spark, d).groupBy("concept", "study_id").agg(F.max("score").alias("score"))
+    return best.join(_grades(spark, d).select("concept", "study_id", "status"), ["concept", "study_id"])
+
+
+_RATED = RANKED + ", x AS (SELECT r.concept, study_id, r.score AS s, status AS y FROM (SELECT concept, study_id, max(score) AS score FROM best GROUP BY ALL) r JOIN grades USING (concept, study_id))\n"
+
+
+def _u(neg: str, name: str) -> str:
+    return f""", {name}_r AS (SELECT concept, y = 'PRESENT' AS pos, rank() OVER (PARTITION BY concept ORDER BY s) + (count(*) OVER (PARTITION BY concept, s) - 1) / 2.0 AS r FROM x WHERE y = 'PRESENT' OR {neg}),
+{name} AS (SELECT concept, count(*) FILTER (pos) AS n_pos, count(*) FILTER (NOT pos) AS n_neg, round((sum(r) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0) / nullif(count(*) FILTER (pos) * count(*) FILTER (NOT pos), 0), 6) AS auroc FROM {name}_r GROUP BY concept)"""
+
+
+@query(
+    _RATED + _u("y = 'ABSENT'", "st") + _u("y IN ('ABSENT', 'NOT_MENTIONED')", "le")
+    + """, n AS (SELECT concept, count(*) FILTER (y = 'PRESENT') AS n_pos, count(*) FILTER (y = 'ABSENT') AS n_neg_strict, count(*) FILTER (y IN ('ABSENT', 'NOT_MENTIONED')) AS n_neg_lenient,
+  round(count(*) FILTER (y = 'PRESENT') / count(*)::DOUBLE, 6) AS prevalence,
+  round(avg(s) FILTER (y = 'PRESENT'), 6) AS present_mean, round(quantile_cont(s, 0.05) FILTER (y = 'PRESENT'), 6) AS present_p5, round(quantile_cont(s, 0.95) FILTER (y = 'PRESENT'), 6) AS present_p95,
+  round(avg(s) FILTER (y = 'ABSENT'), 6) AS absent_mean, round(quantile_cont(s, 0.05) FILTER (y = 'ABSENT'), 6) AS absent_p5, round(quantile_cont(s, 0.95) FILTER (y = 'ABSENT'), 6) AS absent_p95 FROM x GROUP BY concept),
+h AS (SELECT concept, round(avg((y = 'PRESENT')::INTEGER), 6) AS p_at_10 FROM (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY concept ORDER BY s DESC, study_id) <= 10) GROUP BY concept)
+SELECT n.*, p_at_10, CASE WHEN n.n_pos >= 10 AND n_neg_strict >= 10 THEN st.auroc END AS auroc_strict, CASE WHEN n.n_pos >= 10 AND n_neg_lenient >= 10 THEN le.auroc END AS auroc_lenient
+FROM n JOIN h USING (concept) LEFT JOIN st USING (concept) LEFT JOIN le USING (concept)"""
+)
+def concept_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return M.concept_metrics(_rated(spark, d), "concept", "study_id", "score", "status")
+
+
+@query(RANKED + "SELECT concept, count(*) FILTER (status = 'PRESENT') AS n_pos, count(*) FILTER (status = 'ABSENT') AS n_neg FROM resolved GROUP BY concept HAVING count(*) FILTER (status = 'PRESENT') >= 30 AND count(*) FILTER (status = 'ABSENT') >= 30")
+def eligible_concepts(spark: SparkSession, d: str) -> DataFrame:
+    return M.eligible(resolved(spark, d), 30)
+
+
+@query(_RATED + _u("y IN ('ABSENT', 'NOT_MENTIONED')", "le") + "SELECT concept, n_pos, n_neg, auroc AS auroc_lenient, auroc < 0.5 AS weak FROM le")
+def quality_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rated(spark, d)
+    a = E.auroc(rows, ["concept"], "score", F.col("status") == "PRESENT", F.col("status").isin("ABSENT", "NOT_MENTIONED")).withColumnRenamed("auroc", "auroc_lenient")
+    return M.quality(a.withColumn("low", F.lit(0.0)), 0.5).select("concept", "n_pos", "n_neg", "auroc_lenient", "weak")
+
+
+@query()
+def quality_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """``quality_table`` with bootstrap intervals and whether a concept is on the border."""
+    rows = cut(_rated(spark, d))
+    pos, neg = F.col("status") == "PRESENT", F.col("status").isin("ABSENT", "NOT_MENTIONED")
+    a = E.auroc(rows, ["concept"], "score", pos, neg).withColumnRenamed("auroc", "auroc_lenient")
+    ci = M.interval(M.bootstrap_auroc(rows, ["concept"], "study_id", "score", pos, neg, 50, 20), ["concept"], "auroc")
+    return M.quality(a.join(ci, "concept", "left"), 0.5)
 
 
 @query()
 def caption_calibration(spark: SparkSession, d: str) -> DataFrame:
-    rows = ranked(spark, d).join(_grades(spark, d), ["concept", "study_id"]).where("status IN ('PRESENT', 'ABSENT')")
-    return M.calibrate(rows.select("concept", "score", (F.col("status") == "PRESENT").cast("int").alias("y")), "concept", "score", "y")
+    return M.calibrate(_rated(spark, d).withColumn("y", M.target(F.col("status"))), "concept", "score", "y")
+
+
+def _embedded(spark: SparkSession, d: str, concepts: int = 3) -> DataFrame:
+    """(vec_id, embedding, patient, a state per label): PRESENT for the label itself, UNCERTAIN for the next, else ABSENT."""
+    at = lambda k: F.when(F.col("label") == k, "PRESENT").when(F.col("label") == k + 1, "UNCERTAIN").otherwise("ABSENT")
+    return table(spark, d, "embeddings").select("vec_id", "embedding", F.concat(F.lit("patient"), F.floor(F.col("vec_id") / 3)).alias("patient"), *[at(k).alias(f"c{k}") for k in range(concepts)])
 
 
 @query()
 def probe_weights(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").select("embedding", (F.col("label") == 3).cast("int").alias("y"))
-    w = M.fit_by_gradient(rows, "embedding", "y", 10.0, 64)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "i int, w double")
+    fits = M.train_probe(_embedded(spark, d), "embedding", ["c0", "c1", "c2"], 10.0, 64)
+    return spark.createDataFrame([(c, i, float(x)) for c, w in fits.items() for i, x in enumerate(w)], "concept string, i int, w double")
+
+
+@query()
+def penalty_selection(spark: SparkSession, d: str) -> DataFrame:
+    best, scored = M.select_penalty(_embedded(spark, d), "embedding", ["c0", "c1", "c2"], "patient", [1.0, 10.0, 100.0], 64, share=0.3, seed=7)
+    return scored.withColumn("chosen", F.col("penalty") == best)
+
+
+@query()
+def column_probes(spark: SparkSession, d: str) -> DataFrame:
+    fits = M.fit_columns(_embedded(spark, d), "embedding", ["c0", "c1", "c2"], F.col("vec_id") % 4 == 0, [1.0, 10.0], 64)
+    return spark.createDataFrame([(c, f["penalty"], float(f["a"]), float(f["b"])) for c, f in fits.items()], "concept string, penalty double, a double, b double")

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -84,6 +84,23 @@ def salted_lookup(
     return left.drop("_hot_key").join(right, [key, "_salt"], how).drop("_salt")
 
 
+def running_sums(rows: DataFrame, by: Sequence[str], order: Sequence[Column], values: dict[str, Column]) -> DataFrame:
+    """rows with, for every name in ``values``, the sum over the rows of the same group that come earlier (0 for the first).
+    No group is gathered: rows are range-partitioned by group and order and written, sums run within the parts
+    of a group, and what lies in its earlier parts is added, from a table of at most a row per group and part. The
+    order must be total; columns of ``by`` may be null, or there may be none."""
+    by = list(by)
+    keyed = rows.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
+    part = ["_part", *by]
+    placed = cut(keyed.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    totals = placed.groupBy(*part).agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in values])
+    over = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.struct(*part).alias("_at"), *[F.coalesce(F.sum(f"_v_{n}").over(over), F.lit(0)).alias(f"_o_{n}") for n in values])
+    inside = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("_at", F.struct(*part)).select("*", *[F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(f"_i_{n}") for n in values])
+    return summed.join(offsets, summed["_at"].eqNullSafe(offsets["_at"])).select(*rows.columns, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in values])
+
+
 def all_of(conditions: Sequence[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:

@@ -57,6 +57,26 @@ def test_manifest_is_contiguous_and_prefix_stable(spark):
     assert 8 <= sum(r.stratum == "b" for r in got if r.rank_in_manifest < 100) <= 12
     again = {r.study_id: r.rank_in_manifest for r in labels.interleave(df.repartition(7), 7).collect()}
     assert again == {r.study_id: r.rank_in_manifest for r in got}
+    pinned = {r.study_id: r.rank_in_manifest for r in labels.interleave(df, 7, pinned=["s150"], limit=50).collect()}
+    assert pinned["s150"] == 0 and sorted(pinned.values()) == list(range(50))
+    with pytest.raises(ValueError, match="pinned"):
+        labels.interleave(df, 7, pinned=["nope"])
+
+
+def closed_form(i, z: dict[str, float]) -> float:
+    """The closed form of an intent's score."""
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    v = [max(-P.CLIP, min(P.CLIP, z[p.column])) for p in i.parts]
+    yes = i.polarity == "PRESENT"
+    if i.combine == "single":
+        return math.log(sig(v[0] if yes else -v[0]))
+    if i.combine == "weighted":
+        return sum(p.weight * math.log(sig(x)) for p, x in zip(i.parts, v)) if yes else math.log(sum(p.weight * sig(-x) for p, x in zip(i.parts, v)))
+    if i.combine == "max":
+        return math.log(max(map(sig, v))) if yes else math.log(1 - max(map(sig, v)))
+    w = [p.weight if i.combine == "weighted_noisy_or" else 1.0 for p in i.parts]
+    none = math.prod(1 - a * sig(x) for a, x in zip(w, v))
+    return math.log(1 - none) if yes else math.log(none)
 
 
 @pytest.mark.parametrize("combine, polarity", list(itertools.product(P.COMBINES, ("PRESENT", "ABSENT"))))
@@ -67,7 +87,7 @@ def test_scores_match_closed_forms(spark, combine, polarity):
     got = [r[0] for r in spark.createDataFrame(rows, "x double, y double, z double").select(P.score([i])).collect()]
     for g, r in zip(got, rows):
         try:
-            want = P.reference_score(i, dict(zip("xyz", r)))
+            want = closed_form(i, dict(zip("xyz", r)))
         except ValueError:
             continue
         assert g == pytest.approx(want, abs=1e-9)
@@ -117,16 +137,72 @@ def test_logistic_gradient_vanishes(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 3))
     y = (x @ [1.0, -2.0, 0.5] + rng.normal(size=300) > 0).astype(float)
-    w = ml.newton_logistic(x, y, 2.0)
     z = np.column_stack([x, np.ones(300)])
-    grad = z.T @ (1 / (1 + np.exp(-z @ w)) - y) + np.array([2.0, 2.0, 2.0, 0.0]) * w
-    assert np.abs(grad).max() < 1e-6
-    df = spark.createDataFrame([(r.tolist(), int(t)) for r, t in zip(x, y)], "x array<double>, y int")
-    assert np.allclose(ml.fit_by_gradient(df, "x", "y", 2.0, 3), w, atol=1e-5)
-    cal = ml.calibrate(spark.createDataFrame([("c", float(s), int(t)) for s, t in zip(x[:, 0], y)] + [("few", 1.0, 1)], "k string, s double, t int"), "k", "s", "t").collect()
-    by = {r.k: r for r in cal}
-    assert by["c"].a > 0.2 and by["c"].note is None and by["few"].note == "uncalibrated" and by["few"].a == 1
-    assert ml.choose_lambda([(1.0, 0.7), (10.0, 0.7), (0.1, None)]) == 10.0
+    df = spark.createDataFrame([(r.tolist(), int(t), None if i % 3 == 0 else int(t)) for i, (r, t) in enumerate(zip(x, y))] + [(None, 1, 1)], "x array<double>, y int, part int")
+    fits = ml.fit_logistic(df, "x", ["y", "part"], [2.0, 0.5], 3)
+    for (name, lam), w in fits.items():
+        use = np.ones(300, bool) if name == "y" else np.arange(300) % 3 != 0
+        grad = z[use].T @ (1 / (1 + np.exp(-z[use] @ w)) - y[use]) + lam * np.append(w[:-1], 0)
+        assert np.abs(grad).max() < 1e-6
+    assert np.abs(ml.fit_logistic(df.limit(0), "x", ["y"], [1.0], 3)["y", 1.0]).max() == 0
+    rows = [("c", float(s), int(t)) for s, t in zip(x[:, 0], y)] + [("few", 1.0, 1), ("far", None, 1)] + [("far", v * 30.0 + n, int(v > 0)) for v in (-1, 1) for n in (0.0, 5.0) for _ in range(10)] + [("far", 200.0, 1)]
+    cal = {r.k: r for r in ml.calibrate(spark.createDataFrame(rows, "k string, s double, t int"), "k", "s", "t", max_iter=12).collect()}
+    s1 = np.column_stack([x[:, 0], np.ones(300)])
+    assert np.abs(s1.T @ (1 / (1 + np.exp(-s1 @ [cal["c"].a, cal["c"].b])) - y)).max() < 1e-5
+    assert cal["c"].note is None and cal["few"].note == "uncalibrated" and (cal["few"].a, cal["few"].b) == (1, 0) and cal["far"].note == "saturated"
+    assert ml.best_penalty([(1.0, 0.7), (10.0, 0.7 + 1e-12), (0.1, None)]) == 10.0 and ml.best_penalty([(10.0, 0.7), (1.0, 0.70001)]) == 1.0
+
+
+def status_rows(spark, n=400, dim=4, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    states = [np.where(x[:, j] + 0.4 * rng.normal(size=n) > 0.3, "PRESENT", np.where(rng.random(n) < 0.5, "ABSENT", np.where(rng.random(n) < 0.5, "UNCERTAIN", "NOT_MENTIONED"))) for j in range(2)]
+    rows = [(i, f"p{i // 2}", x[i].tolist(), str(states[0][i]), str(states[1][i]), "ABSENT") for i in range(n)]
+    return spark.createDataFrame(rows, "i int, patient string, x array<double>, a string, b string, never string")
+
+
+def test_penalties_and_probes(spark):
+    df = status_rows(spark)
+    best, table = ml.select_penalty(df, "x", ["a", "b", "never"], "patient", [0.1, 1.0, 1000.0], 4, share=0.3, seed=7)
+    got = table.collect()
+    assert {(r.concept, r.penalty) for r in got} == {(c, p) for c in "ab" for p in (0.1, 1.0, 1000.0)} and all(r.auroc > 0.8 for r in got) and best in (0.1, 1.0, 1000.0)
+    with pytest.raises(ValueError):
+        ml.select_penalty(df, "x", ["never"], "patient", [1.0], 4, share=0.3, seed=7)
+    probe = ml.train_probe(df, "x", ["a", "b"], best, 4)
+    assert probe["a"][0] > abs(probe["a"][2]) and probe["b"][1] > abs(probe["b"][3])
+    columns = ml.fit_columns(df, "x", ["a", "b"], F.col("i") % 3 == 0, [0.1, 10.0], 4)
+    assert all(c["a"] > 0 and set(c["scores"]) == {0.1, 10.0} and len(c["weights"]) == 5 for c in columns.values())
+
+
+def test_bootstraps_quality_and_gate(spark):
+    df = status_rows(spark).select("i", F.col("x")[0].alias("good"), F.col("x")[3].alias("bad"), "a").withColumn("concept", F.lit("a"))
+    pos, neg = F.col("a") == "PRESENT", F.col("a").isin("ABSENT", "NOT_MENTIONED")
+    d = ml.paired_delta(df, ["concept"], "i", "good", "bad", pos, neg, 40, 5).first()
+    assert d.accept and d.low < d.delta < d.high and d["first"] > 0.9
+    assert not ml.paired_delta(df, ["concept"], "i", "bad", "bad", pos, neg, 10, 5).first().accept
+    long = df.unpivot(["i", "concept", "a"], ["good", "bad"], "model", "score")
+    m = {r.model: r for r in ml.macro_bootstrap(long, "model", "concept", "i", "score", "a", 20, 5).collect()}
+    assert m["good"].low <= m["good"].macro <= m["good"].high and m["good"].low > m["bad"].high
+    q = ml.quality(spark.createDataFrame([("x", 0.66, 0.6), ("y", 0.5, 0.4), ("z", 0.9, 0.8)], "concept string, auroc_lenient double, low double"), 0.65)
+    assert {r.concept: (r.weak, r.borderline) for r in q.collect()} == {"x": (False, True), "y": (True, True), "z": (False, False)}
+    models = lambda rows: spark.createDataFrame([(n, "cpu", 0, 8, 8, m, 1.0, s, lic) for n, m, s, lic in rows], "name string, device string, errors int, dim_image int, dim_text int, macro double, forecast_hours double, seconds_per_image double, licence string")
+    assert ml.choose_model(models([("a", 0.7, 1.0, "mit"), ("b", 0.6, 0.1, "mit")]))[0] == "a"
+    assert ml.choose_model(models([("a", 0.7, 1.0, "mit"), ("b", 0.69, 0.1, "mit")]))[0] == "b"
+    assert ml.choose_model(models([("a", 0.7, 1.0, "cc-by-nc-4.0"), ("b", 0.69, 0.95, "mit")]))[0] == "b"
+    assert ml.choose_model(models([("a", 0.5, 1.0, "mit")])) == (None, [("a", ["macro strict AUROC too low"])])
+
+
+def test_running_sums(spark):
+    from tamarack.session import running_sums
+
+    df = spark.createDataFrame([(i % 3 if i % 7 else None, i, float(i)) for i in range(200)], "g int, o int, v double").repartition(5)
+    got = running_sums(df, ["g"], [F.col("o").desc()], {"before": F.col("v"), "n": F.lit(1)}).collect()
+    rows = df.collect()
+    for r in got:
+        earlier = [x for x in rows if x.g == r.g and x.o > r.o]
+        assert r.before == sum(x.v for x in earlier) and r.n == len(earlier)
+    assert sorted(r.n for r in running_sums(df, [], [F.col("o")], {"n": F.lit(1)}).collect()) == list(range(200))
+    assert running_sums(df.limit(0), ["g"], [F.col("o")], {"n": F.lit(1)}).count() == 0
 
 
 def test_text_functions(spark):
