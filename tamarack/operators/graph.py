@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.operators.hierarchy import hierarchy_links
-from tamarack.session import cut
+from tamarack.session import cut, release
 
 
 def clean_edges(edges: DataFrame) -> DataFrame:
@@ -94,22 +94,38 @@ def strongest_into(edges: DataFrame, rel: str, links: DataFrame, seeds: DataFram
     return out.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).drop("r")
 
 
+#: So many steps of ``reaches`` make a round, after which the new states are written.
+HOPS = 4
+
+
 def reaches(nodes: DataFrame, edges: DataFrame, links: DataFrame, wholes: DataFrame) -> DataFrame:
     """(cui, reaches): whether a concept leads to a scorable one: itself, along IS_A upwards, into a disease by a kept
-    SUGGESTS, or into an anatomy, and the wholes it is part of, by TYPICALLY_AT; to a fixed point."""
-    up = links.select(F.col("parent").alias("via"), F.col("child").alias("to"))
-    lead = up.unionByName(edges.where((F.col("rel") == "SUGGESTS") & kept()).select(F.col("src").alias("via"), F.col("dst").alias("to")))
-    at = edges.where(F.col("rel") == "TYPICALLY_AT").select(F.col("src").alias("via"), F.col("dst").alias("to"))
-    # region: reached as the region of a typical finding, from where it goes on along PART_OF as well
-    plain = cut(lead.selectExpr("via", "to", "false AS to_region").unionByName(at.selectExpr("via", "to", "true AS to_region")).distinct())
-    parts = cut(wholes.selectExpr("child AS via", "parent AS to").distinct())
+    SUGGESTS, or into an anatomy, and the wholes it is part of, by TYPICALLY_AT; to a fixed point. A state is a
+    concept and whether it was reached as a region, from where it goes on along PART_OF as well; all arcs between
+    states are one table, and only the new states of a round of ``HOPS`` steps are written."""
+    both = F.explode(F.array(F.lit(False), F.lit(True)))
+    arcs = [
+        links.select("parent", both.alias("from_region"), "child", F.lit(False)),
+        edges.where((F.col("rel") == "SUGGESTS") & kept()).select("src", both, "dst", F.lit(False)),
+        edges.where(F.col("rel") == "TYPICALLY_AT").select("src", both, "dst", F.lit(True)),
+        wholes.select("child", F.lit(True), "parent", F.lit(True)),
+    ]
+    along = arcs[0].union(arcs[1]).union(arcs[2]).union(arcs[3]).toDF("via", "via_region", "to", "to_region").distinct()
+    along = cut(along)
     front = cut(nodes.where("scorable").select("cui", F.lit(False).alias("region")).distinct())
-    seen = front
+    seen, parts = front, [front]
     while not front.isEmpty():
-        by_arc = front.join(plain, front.cui == plain.via).select(F.col("to").alias("cui"), F.col("to_region").alias("region"))
-        by_part = front.where("region").join(parts, F.col("cui") == F.col("via")).select(F.col("to").alias("cui"), F.lit(True).alias("region"))
-        front = cut(by_arc.unionByName(by_part).distinct().join(seen, ["cui", "region"], "left_anti"))
-        seen = cut(seen.unionByName(front))
+        step, met = front, None
+        for _ in range(HOPS):
+            on = (step.cui == along.via) & (step.region == along.via_region)
+            step = step.join(along, on).select(F.col("to").alias("cui"), F.col("to_region").alias("region")).distinct()
+            met = step if met is None else met.unionByName(step)
+        front = cut(met.distinct().join(seen, ["cui", "region"], "left_anti"))
+        parts.append(front)
+        seen = seen.unionByName(front)
+        if len(parts) % 8 == 0:  # keeps the plan small
+            seen = cut(seen)
+    release(along)
     hit = seen.select("cui").distinct().withColumn("hit", F.lit(True))
     return nodes.select("cui").distinct().join(hit, "cui", "left").select("cui", F.coalesce("hit", F.lit(False)).alias("reaches"))
 

@@ -27,12 +27,19 @@ def exact_names(queries: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def ranked_names(queries: DataFrame, names: DataFrame, most: int = 12, least_coverage: float = 0.5) -> DataFrame:
-    """(query, cui, tier, score, rank): exact matches first, then names that share words, by tier (coverage at least
-    the limit is tier 1), Dice's coefficient rounded to 3 and code. Candidates meet on their rarest shared
-    word's posting list only through an equi-join on words, pre-reduced to distinct pairs."""
-    q = queries.select("query").where("query IS NOT NULL").distinct().withColumn("qw", words("query"))
-    n = names.select("cui", "text").distinct().withColumn("nw", words("text"))
-    pairs = q.select("query", F.explode(F.array_distinct("qw")).alias("w")).join(n.select("cui", "text", F.explode(F.array_distinct("nw")).alias("w")), "w").select("query", "cui", "text").distinct()
+    """(query, cui, tier, score, rank): exact matches first (tier 0), then names that share words: tier 1 if they have at
+    least ``least_coverage`` of the query's words, else 2; by tier, Dice's coefficient rounded to 3, and code. Names
+    meet a query on its rarest words only: of n words the n - ceil(n * least_coverage) + 1 that fewest names
+    have, of which every name of tier 1 has one; names that share none of these are no candidates. Null and
+    wordless queries have none."""
+    q = queries.select("query").where("query IS NOT NULL").distinct().withColumn("qw", F.array_distinct(words("query"))).where(F.size("qw") > 0)
+    n = names.select("cui", "text").distinct().withColumn("nw", F.array_distinct(words("text")))
+    held = n.select("cui", "text", F.explode("nw").alias("w"))
+    df = held.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    asked = q.select("query", F.explode("qw").alias("w")).join(df, "w", "left").groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("o"))
+    take = (F.size("o") - F.ceil(F.size("o") * F.lit(float(least_coverage))) + 1).cast("int")
+    rare = asked.select("query", F.explode(F.slice("o", F.lit(1), F.greatest(take, F.lit(1)))).alias("x")).select("query", F.col("x.w").alias("w"))
+    pairs = rare.join(held, "w").select("query", "cui", "text").distinct()
     scored = pairs.join(q, "query").join(n, ["cui", "text"]).select("query", "cui", dice(F.col("qw"), F.col("nw")).alias("s"), coverage(F.col("qw"), F.col("nw")).alias("c"))
     loose = scored.select("query", "cui", F.when(F.col("c") >= least_coverage, 1).otherwise(2).alias("tier"), F.bround("s", 3).alias("score"))
     exact = exact_names(queries, names).select("query", "cui", "tier", F.lit(1.0).alias("score"))

@@ -182,7 +182,10 @@ def path_ids(spark: SparkSession, d: str) -> DataFrame:
     return C.with_ids(rows, "path_to_image").select("canonical_path", "image_id", X.study_of("canonical_path").alias("study"), X.patient_of("canonical_path").alias("patient"))
 
 
-@query()
+@query(
+    """WITH h AS (SELECT DISTINCT path_to_image, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(path_to_image)) AS h FROM images WHERE path_to_image IS NOT NULL)
+SELECT path_to_image, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', 1 + CAST(('0x' || substr(h, 17, 1))::INTEGER % 4 AS INTEGER), 1) || substr(h, 18, 3), substr(h, 21, 12)) AS point_id FROM h"""
+)
 def point_ids(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "images").select("path_to_image").where("path_to_image IS NOT NULL").distinct()
     return rows.select("path_to_image", X.uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", "path_to_image").alias("point_id"))
@@ -212,12 +215,18 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "images").groupBy("image_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-@query()
+@query(
+    "WITH h AS (SELECT sha256(coalesce(study_id, chr(0)) || chr(31) || coalesce(search_text, chr(0))) AS h FROM reports) SELECT count(*) AS rows, sha256(concat_ws(':', count(*), "
+    + ", ".join(f"coalesce(sum(CAST('0x' || substr(h, {1 + 12 * i}, 12) AS HUGEINT)), 0)" for i in range(5)) + ")) AS fingerprint FROM h"
+)
 def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return C.fingerprint(table(spark, d, "reports"), ["study_id", "search_text"])
 
 
-@query()
+@query(
+    """WITH e AS (SELECT DISTINCT evidence_id, study_id, concept FROM evidence)
+SELECT * FROM e ORDER BY sha256('11:' || evidence_id), evidence_id LIMIT (SELECT CAST(greatest(1, round(count(*) * 0.1)) AS BIGINT) FROM e)"""
+)
 def review_sample(spark: SparkSession, d: str) -> DataFrame:
     return C.seeded_sample(table(spark, d, "evidence").select("evidence_id", "study_id", "concept").distinct(), "evidence_id", 0.1, 11)
 
@@ -242,7 +251,10 @@ def name_norms_all(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("title IS NOT NULL").select("doc_id", norm.alias("norm"), F.replace(norm, F.lit(" "), F.lit("")).alias("text_key"))
 
 
-@query()
+@query(
+    """SELECT doc_id, trim(regexp_replace(lower(title), '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]+', ' ', 'g')) AS norm, translate(lower(title), 'àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ', 'aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyyd') AS bare,
+  regexp_matches(lower(text), '[ăâđêôơưàáảãạắằẳẵặấầẩẫậèéẻẽẹếềểễệìíỉĩịòóỏõọốồổỗộớờởỡợùúủũụứừửữựýỳỷỹỵ]') AS vietnamese FROM documents"""
+)
 def word_norms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.word_norm("title").alias("norm"), X.strip_marks("title").alias("bare"), X.is_vietnamese("text").alias("vietnamese"))
 

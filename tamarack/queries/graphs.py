@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.functions.parsing import parse_column
+from tamarack.functions import parsing as P
 from tamarack.operators import graph as G
 from tamarack.operators.lookup import ranked_names
 from tamarack.session import cut, table
@@ -145,11 +145,20 @@ def reach_fixed_point(spark: SparkSession, d: str) -> DataFrame:
     return G.reaches(nodes, e, links(spark, d), links(spark, d, "PART_OF"))
 
 
-@query()
+def _levels(depth: int) -> str:
+    out = ", e AS (SELECT DISTINCT src AS a, dst AS b FROM clean), l0 AS (SELECT min(src) AS node, [min(src)] AS path FROM clean WHERE rel = 'SUGGESTS')"
+    for k in range(1, depth + 1):
+        before = " UNION ALL ".join(f"SELECT node FROM l{j}" for j in range(k))
+        out += f", l{k} AS (SELECT b AS node, min(list_append(path, b)) AS path FROM l{k - 1} JOIN e ON a = node WHERE b NOT IN ({before}) GROUP BY b)"
+    return out + " " + " UNION ALL ".join(f"SELECT node, CAST({k} AS INTEGER) AS hops, array_to_string(path, '/') AS path FROM l{k}" for k in range(1, depth + 1))
+
+
+@query(CLEAN + _levels(6))
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
     start = e.where("rel = 'SUGGESTS'").agg(F.min("src")).first()[0]
-    return G.shortest_paths(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), start, 6)
+    found = G.shortest_paths(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), start, 6)
+    return found.select("node", "hops", F.array_join("path", "/").alias("path"))
 
 
 _PAIRS = "WITH m AS (SELECT l_orderkey, p_brand AS src, 'S' || l_suppkey AS dst FROM lineitem JOIN part ON l_partkey = p_partkey)\n"
@@ -182,15 +191,51 @@ def silver_status(spark: SparkSession, d: str) -> DataFrame:
     return best.select("study_id", "concept", F.element_at(F.array(*map(F.lit, ("PRESENT", "UNCERTAIN", "ABSENT", "NOT_MENTIONED"))), F.col("r")).alias("status"))
 
 
-@query()
+FINDINGS = ("band", "cavity", "collapse", "density", "line", "lucency", "mass", "opacity", "plaque", "scar", "shadow", "swelling", "thickening")
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_CUES = ", ".join(f"('{c}', '{side}', {len(c.split())})" for side, cues in (("before", P.ABSENT_BEFORE), ("after", P.ABSENT_AFTER), ("unsure", P.UNCERTAIN)) for c in cues)
+PARSED = f"""WITH t AS (SELECT record_id, regexp_extract_all(lower(nfc_normalize(text)), '[,;.]|[^\\s\\x0b\\x1c-\\x1f\\x85\\pZ,;.?!:()\\[\\]"''/]+') AS w FROM (SELECT DISTINCT record_id, coalesce(question, query) AS text FROM questions) WHERE text IS NOT NULL),
+cues(cue, side, n) AS (VALUES {_CUES}),
+spot AS (SELECT record_id, w, CAST(unnest(range(1, len(w) + 1)) AS INTEGER) AS i FROM t),
+hit AS (SELECT record_id, w, i, w[i] AS concept FROM spot WHERE w[i] IN ({', '.join(f"'{f}'" for f in FINDINGS)})),
+cue AS (SELECT record_id, w, i AS s, i + n AS e, side FROM spot JOIN cues ON w[i] = string_split(cue, ' ')[1] AND list_slice(w, i, i + n - 1) = string_split(cue, ' ')),
+gap AS (SELECT h.record_id, h.w, h.i, h.concept, c.side, CASE WHEN c.e <= h.i THEN h.i - c.e ELSE c.s - h.i - 1 END AS g FROM hit h JOIN cue c ON h.record_id = c.record_id AND h.w = c.w
+  WHERE (c.side IN ('before', 'unsure') AND c.e <= h.i AND h.i - c.e <= 5 AND NOT list_has_any(list_slice(h.w, c.e, h.i - 1), {_list(sorted(P.SCOPE_ENDS))}))
+     OR (c.side IN ('after', 'unsure') AND c.s > h.i AND c.s - h.i - 1 <= 3 AND NOT list_has_any(list_slice(h.w, h.i + 1, c.s - 1), {_list(sorted(P.SCOPE_ENDS))}))),
+near AS (SELECT record_id, w, i, min(g) FILTER (side = 'unsure') AS u, min(g) FILTER (side <> 'unsure') AS n FROM gap GROUP BY ALL),
+said AS (SELECT h.record_id, h.w, h.i, h.concept, CASE WHEN u IS NOT NULL AND (n IS NULL OR u <= n) THEN 'UNCERTAIN' WHEN n IS NOT NULL THEN 'ABSENT' ELSE 'PRESENT' END AS polarity FROM hit h LEFT JOIN near USING (record_id, w, i)),
+parsed AS (SELECT record_id, w, concept, arg_max(polarity, i) AS polarity, min(i) AS first FROM said GROUP BY ALL),
+parser AS (SELECT record_id, concept, polarity, CAST(row_number() OVER (PARTITION BY record_id, w ORDER BY first) AS INTEGER) AS place FROM parsed)
+"""
+
+
+@query(PARSED + "SELECT record_id, concept, polarity, place FROM parser")
 def rule_parser(spark: SparkSession, d: str) -> DataFrame:
     """Findings and their polarity in every question."""
-    finding = ("band", "cavity", "collapse", "density", "line", "lucency", "mass", "opacity", "plaque", "scar", "shadow", "swelling", "thickening")
     q = table(spark, d, "questions").select("record_id", F.coalesce("question", "query").alias("t")).distinct()
-    return parse_column(q, "record_id", "t", [((f,), f) for f in finding])
+    return P.parse_column(q, "record_id", "t", [((f,), f) for f in FINDINGS])
+
 
+_NAME_WORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({t}), '[^a-z0-9_]+', ' ', 'g')), ' '), lambda x: x <> ''))"
 
-@query()
+
+@query(
+    f"""WITH n AS (SELECT 'P' || p_partkey AS cui, p_name AS text, {_NAME_WORDS.format(t='p_name')} AS nw FROM part), q AS (SELECT DISTINCT query, {_NAME_WORDS.format(t='query')} AS qw FROM (SELECT concept AS query FROM labels UNION SELECT p_name FROM part) WHERE query IS NOT NULL),
+df AS (SELECT w, count(*) AS df FROM (SELECT unnest(nw) AS w FROM n) GROUP BY w), asked AS (SELECT query, len(qw) AS k, unnest(qw) AS w FROM q),
+rare AS (SELECT query, w FROM asked LEFT JOIN df USING (w) QUALIFY row_number() OVER (PARTITION BY query ORDER BY coalesce(df, 0), w) <= greatest(1, k - ceil(k * 0.5) + 1)),
+pair AS (SELECT DISTINCT query, cui, text FROM rare JOIN (SELECT cui, text, unnest(nw) AS w FROM n) USING (w)),
+loose AS (SELECT query, cui, CASE WHEN len(list_intersect(qw, nw)) / len(qw) >= 0.5 THEN 1 ELSE 2 END AS tier, round_even(2.0 * len(list_intersect(qw, nw)) / (len(qw) + len(nw)), 3)::DOUBLE AS score FROM pair JOIN q USING (query) JOIN n USING (cui, text)),
+qn AS (SELECT query, trim(regexp_replace(lower(query), '[^a-z0-9]+', ' ', 'g')) AS norm FROM q),
+forms AS (SELECT query, norm FROM qn UNION SELECT query, CASE WHEN regexp_matches(norm, '[^aeiou]ies$') THEN regexp_replace(norm, 'ies$', 'y') WHEN regexp_matches(norm, 's$') AND NOT regexp_matches(norm, '(as|ss|us|is)$') AND length(norm) > 2 THEN regexp_replace(norm, 's$', '') END FROM qn),
+exact AS (SELECT DISTINCT query, cui, 0 AS tier, 1.0::DOUBLE AS score FROM forms JOIN (SELECT cui, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm FROM n) USING (norm) WHERE norm <> ''),
+best AS (SELECT * FROM (SELECT * FROM exact UNION ALL SELECT * FROM loose) QUALIFY row_number() OVER (PARTITION BY query, cui ORDER BY tier, score DESC) = 1)
+SELECT query, cui, CAST(tier AS INTEGER) AS tier, score, CAST(row_number() OVER (PARTITION BY query ORDER BY tier, score DESC, cui) AS INTEGER) AS rank FROM best QUALIFY row_number() OVER (PARTITION BY query ORDER BY tier, score DESC, cui) <= 12"""
+)
 def concept_lookup(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("cui"), F.col("p_name").alias("text"))
     return ranked_names(table(spark, d, "labels").select(F.col("concept").alias("query")).distinct().unionByName(names.select(F.col("text").alias("query")).distinct()), names)
