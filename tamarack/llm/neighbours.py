@@ -3,21 +3,26 @@
 A vector is turned by a pseudo-rotation (three rounds of random signs and a fast Hadamard transform) and
 hashed to its nearest signed axis, one of 2d. Several such digits make a table's key. Keys have variable
 length: a prefix that holds more than ``leaf`` vectors is split by the next digit, so that dense regions get
-long keys and sparse ones short keys. Every vector probes the ``probes`` best leaves of every table and is
+long keys and sparse ones short keys; how many digits there are grows with the logarithm of the number of
+vectors, the size of leaves doesn't grow. Every vector probes the ``probes`` best leaves of every table and is
 compared exactly, by blocks, with all members of them; the best k of all tables are kept.
 
-No bucket is capped: a leaf that stays large after the last digit is compared in blocks of ``leaf`` members,
-and a leaf with many probing vectors is spread over several tasks. Vectors whose leaves
-hold fewer than k others are compared with all, ``ASK`` at a time. Vectors that are copies of each other
-(after scaling, to six digits) are hashed once and expanded at the end, each class by its k + 1 smallest ids.
+No bucket is capped: a leaf that stays large after the last digit is compared in blocks, and a leaf with many
+probing vectors is spread over several tasks. Vectors whose leaves hold fewer than k others are compared with
+all, block by block. Vectors that are copies of each other (after scaling, to six digits) are hashed once and
+expanded at the end, each class by its k + 1 smallest ids.
 
-What is broadcast is bounded by construction: at most ``MOST`` keys of split prefixes and of spread leaves
-(the limits rise with the number of vectors), and a bitmap of 1 MB that tells which leaves exist.
+Which prefixes are split and which leaves exist is told by two bitmaps of hashed keys, of at most ``MOST_BITS``
+bits each, the same for those who are asked and those who ask; two keys that share a bit split a prefix that
+needn't be, or cost a probe of an empty leaf, and lose nothing else. Beside them at most ``MOST`` numbers of
+blocks are broadcast: were there more, blocks grow, which changes what is compared in one task, not what is
+compared.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.session import cut
+from tamarack.operators.vectors import batch_nearest
+from tamarack.session import cut, release
 
 MOST = 1_000_000
-BITS = 1 << 23
-DIGITS = 4
-ASK = 20_000
-WIDTH = 256  # a digit's room in a key: a key is (table, length, digits)
+MOST_BITS = 1 << 28
+#: How many axes are tried of each digit of a key; of later digits the nearest.
+TRIED = (3, 3, 2)
+PREFIX_BITS = 54  # of a key: table, number of digits, digits
 
 
 def unit_vectors(rows: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -89,13 +95,31 @@ def axes(x: np.ndarray, table: int, digit: int, alternatives: int) -> tuple[np.n
 
 
 def _key(table: int, length: int, prefix: np.ndarray) -> np.ndarray:
-    return (np.int64(table) << 40) | (np.int64(length) << 36) | prefix
+    return (np.int64(table) << 59) | (np.int64(length) << PREFIX_BITS) | prefix
 
 
-def _spot(keys: np.ndarray) -> np.ndarray:
+def _spot(keys: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         z = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return ((z ^ (z >> np.uint64(29))) % np.uint64(BITS)).astype(np.int64)
+        z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((z ^ (z >> np.uint64(32))) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    spot = _spot(keys, 8 * len(bitmap))
+    return (bitmap[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 > 0
+
+
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """The bits of the hashed keys (column spot), built in parts where the keys are."""
+    out = np.zeros(bits // 8, np.uint8)
+    spot = F.col("spot") + 1  # Spark numbers bits from 1 and buckets of 32768 bits from 1
+    parts = keys.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("m"))
+    for r in parts.collect():
+        at = (r.b - 1) * 4096
+        part = np.frombuffer(bytes(r.m), np.uint8)[: len(out) - at]
+        out[at : at + len(part)] |= part
+    return out
 
 
 def _matrix(batch: pa.RecordBatch | pa.Table, name: str, dim: int) -> np.ndarray:
@@ -105,33 +129,30 @@ def _matrix(batch: pa.RecordBatch | pa.Table, name: str, dim: int) -> np.ndarray
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
 
 
-def _has(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(sorted_keys):
-        return np.zeros(keys.shape, bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return sorted_keys[at] == keys
-
-
-def probe(x: np.ndarray, table: int, split: np.ndarray, bitmap: np.ndarray | None, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(leaves, valid) of each row, best first; the first is the row's own leaf."""
-    per = 3
-    found = [axes(x, table, g, per) for g in range(DIGITS)]
-    combos = np.array(list(itertools.product(range(per), repeat=DIGITS - 1)))
-    loss = sum(found[g][1][:, combos[:, g]] for g in range(DIGITS - 1))
-    order = np.argsort(loss, axis=1, kind="stable")
-    prefix = np.zeros((len(x), len(combos)), np.int64)
+def probe(x: np.ndarray, table: int, digits: int, split: np.ndarray, there: np.ndarray | None, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leaves, valid) of each row, best first; the first is the row's own leaf. Digits are computed only for rows of
+    which a prefix is split. Without ``there`` only the own leaf is given."""
+    tried = [TRIED[g] if there is not None and g < min(len(TRIED), digits - 1) else 1 for g in range(digits)]
+    width = int(2 * (1 << (x.shape[1] - 1).bit_length()))
+    combos = np.array(list(itertools.product(*[range(t) for t in tried])))
+    n = len(x)
+    loss, prefix = np.zeros((n, len(combos)), np.float32), np.zeros((n, len(combos)), np.int64)
     leaf = np.full(prefix.shape, -1, np.int64)
-    for g in range(DIGITS):
-        digit = found[g][0][:, combos[:, g]] if g < DIGITS - 1 else found[g][0][:, :1]
-        prefix = prefix * WIDTH + digit
-        key = _key(table, g + 1, prefix)
-        ends = (leaf < 0) & (~_has(split, key) if g < DIGITS - 1 else True)
-        leaf = np.where(ends, key, leaf)
+    rows = np.arange(n)  # those with a prefix that goes on
+    for g in range(digits):
+        if not len(rows):
+            break
+        best, less = axes(x[rows], table, g, tried[g])
+        prefix[rows] = prefix[rows] * width + best[:, combos[:, g]]
+        open_ = leaf[rows] < 0
+        loss[rows] += np.where(open_, less[:, combos[:, g]], 0)
+        key = _key(table, g + 1, prefix[rows])
+        ends = open_ & (~_in(split, key) if g < digits - 1 else True)
+        leaf[rows] = np.where(ends, key, leaf[rows])
+        rows = rows[(leaf[rows] < 0).any(axis=1)]
+    order = np.argsort(loss, axis=1, kind="stable")
     leaf = np.take_along_axis(leaf, order, 1)
-    valid = np.ones(leaf.shape, bool)
-    if bitmap is not None:
-        spot = _spot(leaf)
-        valid = (bitmap[spot >> 3] >> (spot & 7)) & 1 > 0
+    valid = np.ones(leaf.shape, bool) if there is None else _in(there, leaf)
     for j in range(1, leaf.shape[1]):
         valid[:, j] &= ~(leaf[:, :j] == leaf[:, j : j + 1]).any(axis=1)
     valid &= np.cumsum(valid, axis=1) <= probes
@@ -142,8 +163,12 @@ def nearest_classes(points: DataFrame, k: int, tables: int, probes: int, leaf: i
     """(id, nbr, cos) of each point's k nearest other points. points: id bigint, vec array<float>, checkpointed."""
     spark = points.sparkSession
     n = points.count()
-    leaf = max(leaf, n * tables * DIGITS // MOST + 1)
-    nothing = np.zeros(0, np.int64)
+    width = 2 * (1 << (dim - 1).bit_length())
+    most_digits = PREFIX_BITS // (width.bit_length() - 1)
+    digits = min(most_digits, 2 + math.ceil(max(1.0, math.log(max(1.0, n / leaf), width))))
+    if tables > 16 or most_digits < 2:
+        raise ValueError("at most 16 tables, and vectors of at most 2^26 numbers")
+    bits = min(MOST_BITS, max(1 << 15, 1 << math.ceil(math.log2(64 * tables * (n / leaf + width)))))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,15 +178,14 @@ def nearest_classes(points: DataFrame, k: int, tables: int, probes: int, leaf: i
             for t in range(tables):
                 p = np.zeros(len(x), np.int64)
                 keys = []
-                for g in range(DIGITS - 1):
-                    p = p * WIDTH + axes(x, t, g, 1)[0][:, 0]
+                for g in range(digits - 1):
+                    p = p * width + axes(x, t, g, 1)[0][:, 0]
                     keys.append(_key(t, g + 1, p))
                 u, c = np.unique(np.concatenate(keys), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c.astype(np.int64))], names=["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(_spot(u, bits)), pa.array(c.astype(np.int64))], names=["key", "spot", "n"])
 
-    big = points.select("vec").mapInArrow(prefixes, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > leaf)
-    split = np.sort(np.array([r.key for r in big.select("key").collect()], np.int64))
-    split_b = spark.sparkContext.broadcast(split)
+    big = points.select("vec").mapInArrow(prefixes, "key bigint, spot bigint, n bigint").groupBy("key", "spot").agg(F.sum("n").alias("n")).where(F.col("n") > leaf)
+    split_b = spark.sparkContext.broadcast(_bitmap(big, bits))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,23 +193,12 @@ def nearest_classes(points: DataFrame, k: int, tables: int, probes: int, leaf: i
                 continue
             x = _matrix(b, "vec", dim)
             for t in range(tables):
-                u, c = np.unique(probe(x, t, split_b.value, None, 1)[0][:, 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(_spot(u)), pa.array(c.astype(np.int64))], names=["key", "spot", "n"])
+                u, c = np.unique(probe(x, t, digits, split_b.value, None, 1)[0][:, 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(_spot(u, bits)), pa.array(c.astype(np.int64))], names=["key", "spot", "n"])
 
     members = cut(points.select("vec").mapInArrow(own, "key bigint, spot bigint, n bigint").groupBy("key", "spot").agg(F.sum("n").alias("n")))
-    bitmap = np.zeros(BITS // 8, np.uint8)
-    # Spark numbers bits from 1 and buckets of 32768 bits from 1
-    for r in (
-        members.select((F.col("spot") + 1).alias("spot"))
-        .groupBy(F.bitmap_bucket_number("spot").alias("b"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("m"))
-        .collect()
-    ):
-        at = (r.b - 1) * 4096
-        part = np.frombuffer(bytes(r.m), np.uint8)[: len(bitmap) - at]
-        bitmap[at : at + len(part)] |= part
-    bitmap_b = spark.sparkContext.broadcast(bitmap)
-    wide = max(4 * leaf, n * tables * probes // MOST + 1)
+    there_b = spark.sparkContext.broadcast(_bitmap(members, bits))
+    block, wide = max(leaf, n * tables // MOST + 1), max(4 * leaf, n * tables * probes // MOST + 1)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,24 +206,24 @@ def nearest_classes(points: DataFrame, k: int, tables: int, probes: int, leaf: i
                 continue
             x = _matrix(b, "vec", dim)
             for t in range(tables):
-                leaves, valid = probe(x, t, split_b.value, bitmap_b.value, probes)
+                leaves, valid = probe(x, t, digits, split_b.value, there_b.value, probes)
                 u, c = np.unique(leaves[valid], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c.astype(np.int64))], names=["key", "n"])
 
     probing = points.select("vec").mapInArrow(tally, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("p"))
     grid = (
         probing.join(members.select("key", "n"), "key")
-        .select("key", F.ceil(F.col("p") / wide).alias("chunks"), F.ceil(F.col("n") / leaf).alias("blocks"))
+        .select("key", F.ceil(F.col("p") / wide).alias("chunks"), F.ceil(F.col("n") / block).alias("blocks"))
         .where("chunks > 1 OR blocks > 1")
+        .orderBy("key")
         .collect()
     )
-    grid_keys = np.array(sorted(r.key for r in grid), np.int64)
-    by_key = {r.key: (r.chunks, r.blocks) for r in grid}
-    grid_size = np.array([by_key[key] for key in grid_keys.tolist()], np.int64).reshape(-1, 2)
-    grid_b = spark.sparkContext.broadcast((grid_keys, grid_size))
+    release(members)
+    grid_b = spark.sparkContext.broadcast((np.array([r.key for r in grid], np.int64), np.array([(r.chunks, r.blocks) for r in grid], np.int64).reshape(-1, 2)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per point and cell it takes part in; part: 1 it probes, 2 it is a member, 3 both."""
+        """A row per point and cell it takes part in; part: 1 it probes, 2 it is a member, 3 both. A leaf that the grid
+        names has a cell for each chunk of those who probe and each block of members."""
         keys, sizes = grid_b.value
         for b in batches:
             if not b.num_rows:
@@ -219,27 +232,28 @@ def nearest_classes(points: DataFrame, k: int, tables: int, probes: int, leaf: i
             for s in range(0, len(all_ids), 2_000):
                 x, ids = whole[s : s + 2_000], all_ids[s : s + 2_000]
                 for t in range(tables):
-                    leaves, valid = probe(x, t, split_b.value, bitmap_b.value, probes)
+                    leaves, valid = probe(x, t, digits, split_b.value, there_b.value, probes)
                     row, col = np.nonzero(valid)
                     key = leaves[row, col]
-                    part = np.where(col == 0, 3, 1)
-                    if not len(keys):
-                        yield _cells(key, np.zeros(len(key), np.int64), part, ids[row], x[row])
+                    at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                    spread = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+                    plain = ~spread
+                    yield _cells(key[plain], np.zeros(plain.sum(), np.int64), np.where(col[plain] == 0, 3, 1), ids[row[plain]], x[row[plain]])
+                    if not spread.any():
                         continue
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    plain = keys[at] != key
-                    yield _cells(key[plain], np.zeros(plain.sum(), np.int64), part[plain], ids[row[plain]], x[row[plain]])
-                    for j in np.nonzero(~plain)[0]:
-                        chunks, blocks = sizes[at[j]]
-                        mix = (int(ids[row[j]]) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-                        chunk, block = (mix >> 33) % chunks, (mix >> 13) % blocks
-                        cells = {int(chunk * blocks + q): 1 for q in range(blocks)}
-                        if part[j] == 3:
-                            for q in range(chunks):
-                                c = int(q * blocks + block)
-                                cells[c] = cells.get(c, 0) + 2
-                        c = np.fromiter(cells, np.int64)
-                        yield _cells(np.full(len(c), key[j]), c, np.fromiter(cells.values(), np.int64), np.full(len(c), ids[row[j]]), np.repeat(x[row[j]][None], len(c), 0))
+                    r, k_, mine = row[spread], key[spread], col[spread] == 0
+                    chunks, blocks = sizes[at[spread]].T
+                    with np.errstate(over="ignore"):
+                        mix = ids[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    chunk, home = (mix >> np.uint64(33)).astype(np.int64) % chunks, ((mix >> np.uint64(13)) & np.uint64(0x7FFFFFFF)).astype(np.int64) % blocks
+                    ask = np.repeat(np.arange(len(r)), blocks)
+                    cell = chunk[ask] * blocks[ask] + np.concatenate([np.arange(z) for z in blocks])
+                    yield _cells(k_[ask], cell, np.full(len(ask), 1), ids[r[ask]], x[r[ask]])
+                    own_rows = np.flatnonzero(mine)
+                    if len(own_rows):
+                        be = np.repeat(own_rows, chunks[own_rows])
+                        cell = np.concatenate([np.arange(z) for z in chunks[own_rows]]) * blocks[be] + home[be]
+                        yield _cells(k_[be], cell, np.full(len(be), 2), ids[r[be]], x[r[be]])
 
     def _cells(key, cell, part, ids, x) -> pa.RecordBatch:
         flat = pa.py_buffer(np.ascontiguousarray(x, np.float32).tobytes())
@@ -302,45 +316,14 @@ def nearest_classes(points: DataFrame, k: int, tables: int, probes: int, leaf: i
     near = cut(gathered.mapInArrow(best, "id bigint, nbr bigint, cos float"))
     full = near.groupBy("id").count().where(F.col("count") >= min(k, n - 1)).select("id")
     lacking = cut(points.join(full, "id", "left_anti"))
-    ids = [r.id for r in lacking.select("id").orderBy("id").toLocalIterator()]
-    if not ids or n < 2:
+    if n < 2 or lacking.isEmpty():
         return near
-    near = near.join(lacking.select("id"), "id", "left_anti")
-    for s in range(0, len(ids), ASK):
-        near = near.unionByName(_exhaustive(points, lacking.where(F.col("id").between(ids[s], ids[min(s + ASK, len(ids)) - 1])), k, dim))
-    return near
-
-
-def _exhaustive(points: DataFrame, asking: DataFrame, k: int, dim: int) -> DataFrame:
-    """The same for at most ``ASK`` points whose leaves hold too few others: they are sent to all blocks of points,
-    each of which returns its k nearest, and the nearest of these are kept."""
-    from pyspark.sql import Window
-
-    rows = asking.orderBy("id").collect()
-    sent = points.sparkSession.sparkContext.broadcast((np.array([r.id for r in rows], np.int64), np.array([r.vec for r in rows], np.float32)))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = sent.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, ids = _matrix(b, "vec", dim), b.column("id").to_numpy()
-            for s in range(0, len(qid), 1_024):
-                sims = q[s : s + 1_024] @ x.T
-                sims[qid[s : s + 1_024, None] == ids[None]] = -9
-                m = min(k, len(ids))
-                top = np.argpartition(-sims, m - 1, axis=1)[:, :m]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qid[s : s + 1_024], m)), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(sims, top, 1).ravel())], names=["id", "nbr", "cos"]
-                )
-
-    found = points.select("id", "vec").mapInArrow(compare, "id bigint, nbr bigint, cos float").where("cos > -5")
-    w = Window.partitionBy("id").orderBy(F.col("cos").desc(), "nbr")
-    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    found = batch_nearest(lacking, points, k, key="id", vec="vec").select(F.col("query").alias("id"), F.col("id").alias("nbr"), F.col("score").cast("float").alias("cos"))
+    return near.join(lacking.select("id"), "id", "left_anti").unionByName(found)
 
 
 def nearest_neighbours(
-    rows: DataFrame, *, id_col: str = "image_id", vec_col: str = "vec", dim: int = 64, k: int = 10, tables: int = 8, probes: int = 6, leaf: int = 1_000
+    rows: DataFrame, *, id_col: str = "image_id", vec_col: str = "vec", dim: int = 64, k: int = 10, tables: int = 6, probes: int = 3, leaf: int = 4_000
 ) -> DataFrame:
     """(image_id, neighbour, cos, place): the k most similar other ids of every id, nearest first, equal ones
     by smaller id. Unusable vectors (see unit_vectors) take no part; no usable vector gives no rows; with
