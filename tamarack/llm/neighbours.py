@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tamarack.operators.vectors import batch_nearest
+from tamarack.operators.vectors import batch_nearest, rows_of, scaled_rows
 from tamarack.session import cut, release
 
 MOST = 1_000_000
@@ -41,26 +42,27 @@ PREFIX_BITS = 54  # of a key: table, number of digits, digits
 
 
 def unit_vectors(rows: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    """(image_id, vec, copy): one usable unit vector per id. Null ids, null vectors, other lengths, elements
-    that are null, NaN or infinite, and zero vectors are left out; of an id's different vectors the smallest
-    counts."""
-    v = F.col(vec_col)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    one = (
-        rows.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0))
-        .groupBy(F.col(id_col).alias("image_id"))
-        .agg(F.min(v).alias("v"))
-    )
-    top = one.withColumn("m", F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
-    scaled = top.withColumn("u", F.transform("v", lambda x: x.cast("double") / F.col("m")))
-    norm = F.sqrt(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x))
-    unit = scaled.withColumn("n", norm).withColumn("w", F.transform("u", lambda x: x / F.col("n")))
-    rounded = F.transform("w", lambda x: F.round(x * 1e6).cast("int"))
-    return unit.select(
-        "image_id",
-        F.transform("w", lambda x: x.cast("float")).alias("vec"),
-        F.struct(F.xxhash64(rounded).alias("a"), F.xxhash64(F.lit(7), rounded).alias("b")).alias("copy"),
-    )
+    """(image_id, copy, vec): one usable unit vector per id. Null ids, null vectors, other lengths, elements that are
+    null, NaN or infinite, and zero vectors are left out; of an id's different vectors the one with the smallest
+    hash counts. copy: two hashes of the unit vector, rounded to six digits."""
+    schema = T.StructType([T.StructField("image_id", rows.schema[id_col].dataType), *T.StructType.fromDDL("a bigint, b bigint, vec array<float>").fields])
+    factors = np.random.default_rng(0).integers(1, 1 << 63, (2, dim), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, usable = rows_of(batch.column(1), dim)
+            usable &= np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            x = x[usable] / np.abs(x[usable]).max(axis=1, keepdims=True) if usable.any() else x[:0]
+            x = scaled_rows(x)
+            rounded = np.rint(x * 1e6).astype(np.int64).view(np.uint64)
+            with np.errstate(over="ignore"):
+                a, b = ((rounded * f).sum(axis=1, dtype=np.uint64).view(np.int64) for f in factors)
+            flat = pa.array(np.ascontiguousarray(x, np.float32).ravel())
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(usable)), pa.array(a), pa.array(b), vec], names=schema.names)
+
+    good = rows.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(id_col, vec_col).mapInArrow(read, schema)
+    return good.groupBy("image_id").agg(F.min(F.struct("a", "b", "vec")).alias("m")).select("image_id", F.struct("m.a", "m.b").alias("copy"), "m.vec")
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
