@@ -56,12 +56,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def salted_lookup(
-    rows: DataFrame, lookup: DataFrame, key: str, *, how: str = "left", salts: int = 16, share: float = 1 / 64
+    rows: DataFrame, lookup: DataFrame, key: str, *, how: str = "left", salts: int = 16, share: float = 1 / 64, counts: DataFrame | None = None
 ) -> DataFrame:
     """Join ``rows`` to ``lookup`` (unique in ``key``), splitting keys that hold more than ``share`` of
     ``rows`` over ``salts`` tasks. At most ``1/share`` keys can be that hot, so their list has a proven
-    size and is broadcast. Rows with a null key match nothing."""
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    size and is broadcast. Rows with a null key match nothing. counts: (key, count) where it is known."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count() if counts is None else counts.select(key, "count")
     total = counts.agg(F.sum("count").alias("_total"))
     hot = (
         counts.crossJoin(F.broadcast(total))
