@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.session import cut, salted_lookup
+from tamarack.session import cut, release, salted_lookup
 
 FILLERS = ("", "n/a", "na", "none", "null", "pending", "unknown", "-", "?")
 #: SHA-256 of the empty input: what a file's checksum is when there was no file.
@@ -62,9 +62,10 @@ def hash_to_min(edges: DataFrame, left: str, right: str) -> DataFrame:
 
     last = mark(state)
     while True:
-        least = state.groupBy("v").agg(F.min("u").alias("m"))
-        joined = salted_lookup(state, least, "v", how="inner")
-        state = cut(joined.select(F.explode(F.array(F.struct(F.col("m").alias("v"), "u"), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("p")).select("p.*").distinct())
+        least = state.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("count"))
+        joined = salted_lookup(state, least.select("v", "m"), "v", how="inner", counts=least)
+        before, state = state, cut(joined.select(F.explode(F.array(F.struct(F.col("m").alias("v"), "u"), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("p")).select("p.*").distinct())
+        release(before)
         now = mark(state)
         if now == last:
             break
@@ -74,13 +75,19 @@ def hash_to_min(edges: DataFrame, left: str, right: str) -> DataFrame:
 
 def grouped_images(images: DataFrame) -> DataFrame:
     """(image_id, group_image_id): every image_id once, with the smallest of its group. An image that nothing
-    links is its own group; rows without image_id are left out; repeated rows count once."""
-    links = image_links(images)
-    first = links.groupBy("key").agg(F.min("image_id").alias("first"))
-    edges = salted_lookup(links, first, "key", how="inner").select("image_id", "first").where("image_id <> first").distinct()
-    roots = hash_to_min(edges, "image_id", "first").where("node <> root")
-    ids = images.where(F.col("image_id").isNotNull()).select("image_id").distinct()
-    return ids.join(roots.withColumnRenamed("node", "image_id"), "image_id", "left").select("image_id", F.coalesce("root", "image_id").alias("group_image_id"))
+    links is its own group; rows without image_id are left out; repeated rows count once. Components are found
+    over numbers that stand for image_ids."""
+    ids = cut(images.where(F.col("image_id").isNotNull()).select("image_id").distinct().withColumn("n", F.monotonically_increasing_id()))
+    links = cut(image_links(images).join(ids, "image_id").select("n", "key"))
+    first = links.groupBy("key").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("count")).where("count > 1")
+    edges = salted_lookup(links, first.select("key", "first"), "key", how="inner", counts=first).select("n", "first").where("n <> first").distinct()
+    roots = cut(hash_to_min(edges, "n", "first").withColumnRenamed("node", "n"))
+    release(links)
+    held = ids.join(roots, "n")
+    least = held.groupBy("root").agg(F.min("image_id").alias("group_image_id"), F.count(F.lit(1)).alias("count"))
+    grouped = salted_lookup(held, least.select("root", "group_image_id"), "root", how="inner", counts=least).select("image_id", "group_image_id")
+    alone = ids.join(roots.select("n"), "n", "left_anti").select("image_id", F.col("image_id").alias("group_image_id"))
+    return grouped.unionByName(alone)
 
 
 def rendezvous(group: str, weights: dict[str, float], seed: int) -> Column:
