@@ -1,6 +1,6 @@
 import pytest
 
-from tamarack.llm.personal import find, find_personal, luhn, mod23, mod97, redact
+from tamarack.llm.personal import find, find_personal, luhn, mod11, mod23, mod97, redact
 
 
 def got(t):
@@ -29,6 +29,18 @@ def got(t):
         ("Signed, Zubrdane, Dana They keep it.", [("name", "Zubrdane, Dana")]),
         ("Tôi tên là Lưu Tường Khuê. Ồn.", [("name", "Lưu Tường Khuê")]),
         ("Emma Teakwell makes a better one.", []),
+        ("Please contact Maria Garcia about it.", [("name", "Maria Garcia")]),
+        ("Written by Peter Jackson, a fan.", [("name", "Peter Jackson")]),
+        ("Works well.\nBest,\nAnna Lee", [("name", "Anna Lee")]),
+        ("My colleague Tom O'Neill said so. My neighbour Junopark Home makes a better one.", [("name", "Tom O'Neill")]),
+        ("Write or 555-123-4567 works too.", [("phone", "555-123-4567")]),
+        ("My NHS number 943 476 5919 is on it.", [("id_number", "943 476 5919")]),
+        ("It says 943 476 5918 there.", []),
+        ("Numéro 2 55 08 14 168 025 38 sur la boîte.", [("id_number", "2 55 08 14 168 025 38")]),
+        ("Numéro 2 55 08 14 168 025 39 sur la boîte.", []),
+        ("Mine is 123-45-6789, theirs 000-45-6789.", [("id_number", "123-45-6789")]),
+        ("私は山田太郎と申します。住所は東京都新宿区西新宿2-8-1です。", [("name", "山田太郎"), ("address", "東京都新宿区西新宿2-8-1")]),
+        ("The best Coffee Grinder I had. Best, by far.", []),
         ("", []),
     ],
 )
@@ -39,6 +51,7 @@ def test_found(text, want):
 def test_checksums():
     assert luhn("4539578763621486") and not luhn("4539578763621487")
     assert mod97("255081416802538") and not mod97("255081416802539")
+    assert mod11("9434765919") and not mod11("9434765918") and not mod11("0000000000")
     assert mod23("12345678Z") and not mod23("12345678A")
 
 
