@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: abbreviations after which a sentence goes on, and those that may also end one
-NEVER = frozenset("dr prof mr mrs ms st no nr fig vs approx ca cf env e.g i.e z.b z.n p.ex d.h u.a bzw li re med pr mme bs ths tp gs pgs sr sra d डॉ से.मी د".split())
-MAYBE = frozenset("etc wks wk p.m a.m sem usw approx min max inc ltd co jan feb mar apr jun jul aug sep sept oct nov dec".split())
-BEFORE_NUMBER = frozenset("no nr fig jan feb mar apr may jun jul aug sep sept oct nov dec approx ca env p pp s vol".split())
+NEVER = frozenset("dr prof mr mrs ms st no nr fig vs approx ca cf env e.g i.e z.b z.n p.ex d.h u.a bzw li re med pr mme bs ths tp gs pgs sr sra gen col capt lt sgt rev hon gov sen pres prot al eq d डॉ से.मी د".split())
+MAYBE = frozenset("sec ch etc wks wk p.m a.m sem usw approx min max inc ltd co jan feb mar apr jun jul aug sep sept oct nov dec".split())
+BEFORE_NUMBER = frozenset("no nr fig jan feb mar apr may jun jul aug sep sept oct nov dec approx ca env p pp s vol sec ch art par tab eq cap kap abb abs".split())
 ARTICLES = frozenset("die der das den dem des am im vom zum zur eine einer".split())
 # fixed values: words that hardly open a sentence; they count where case tells nothing
 INSIDE = frozenset("by from of to and or but und oder aber et ou mais và hoặc nhưng y o pero".split())
@@ -29,7 +29,10 @@ INSIDE_THAI = ("ที่", "ใน", "ของ", "และ", "หรือ",
 PAIRS = {"(": ")", "[": "]", "«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "《": "》", "（": "）"}
 CLOSERS = "\"'”“’»」』》)]）"
 
-STOP = re.compile(rf"(?:[.!?…]+|[。！？｡]+|[।॥؟۔]+)[{re.escape(CLOSERS)}]*(?:\s+[»](?=\s|$))?")
+WESTERN = ".!?…"
+#: Stops of any script, by Unicode's property of characters that end sentences. Those besides ``WESTERN`` have no other use
+#: and may stand without a space behind them.
+STOP = re.compile(rf"(?:[{WESTERN}]+|(?:(?![{WESTERN}])\p{{Sentence_Terminal}})+)[{re.escape(CLOSERS)}]*(?:\s+[»](?=\s|$))?")
 ITEM = re.compile(r"(?m)^[ \t]*(?:([-*•–·‣▪])[ \t]+|\(?(\d{1,3})[.)][ \t]+)(?=\S)")
 INLINE = re.compile(r"(?<=[.!?…。！？\"”»)])[ \t]+\(?(\d{1,3})[.)][ \t]+(?=\S)")
 THAI_SPACE = re.compile(r"(?<=[\p{Thai}])\s+(?=[\p{Thai}])")
@@ -90,7 +93,7 @@ def _closing(text: str, start: int, m: re.Match, cased: bool) -> float:
     stop = m[0]
     mark, tail = stop[0], text[m.end() : m.end() + 1]
     embedded = stop[-1] in CLOSERS and _within(text, start, m)
-    if mark in "。！？｡।॥؟۔":
+    if mark not in WESTERN:
         return -3.0 if embedded else 3.0
     if mark in "!?":
         return 2.0 - (0 if cased or not embedded else 3)
@@ -193,7 +196,7 @@ def spans(text: str | None) -> list[tuple[int, int]]:
             if m.end() >= last or m.end() <= begin or inside(m.end()):
                 continue
             nxt = text[m.end()]
-            if not nxt.isspace() and m[0][0] not in "。！？｡।॥؟۔":
+            if not nxt.isspace() and m[0][0] in WESTERN:
                 if m[0][0] == "." and (not nxt.isupper() or (prev := text[m.start() - 1 : m.start()]).isdigit() and nxt.isdigit() or not prev.isalnum() and prev not in CLOSERS):
                     continue
                 if m[0][0] != "." and not nxt.isalpha():

@@ -68,3 +68,20 @@ def test_a_quotation_is_not_split_for_its_length(n):
     assert len(cutup("依頼書には「" + "咳が続く。" * n + "」とあります。変化ありません。")) == 2
     assert len(cutup(f"The note of 5\" reads {inner} It ends.")) == n + 1
     assert len(cutup(f'The note reads "{inner} It ends.')) >= n
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("ሰላም ነው። ደህና ነኝ።", ["ሰላም ነው።", "ደህና ነኝ።"]),
+        ("Բարեւ ձեզ։ Ինչպես եք։", ["Բարեւ ձեզ։", "Ինչպես եք։"]),
+        ("မင်္ဂလာပါ။ နေကောင်းလား။", ["မင်္ဂလာပါ။", "နေကောင်းလား။"]),
+        ("សួស្តី។ អ្នកសុខសប្បាយទេ។", ["សួស្តី។", "អ្នកសុខសប្បាយទេ។"]),
+        ("We saw Gen. Lee there. He left.", ["We saw Gen. Lee there.", "He left."]),
+        ("See Sec. 4. It helps.", ["See Sec. 4.", "It helps."]),
+        ("It took 5 sec. Then it ended.", ["It took 5 sec.", "Then it ended."]),
+        ("Smith et al. found it. Fine.", ["Smith et al. found it.", "Fine."]),
+    ],
+)
+def test_stops_of_other_scripts_and_more_abbreviations(text, want):
+    assert [text[a:b] for a, b in spans(text)] == want
