@@ -1,19 +1,22 @@
 """Evaluation passages in training texts: a hash set of test n-grams, a scan of token windows, and a check.
 
 A leak is a run of ``words`` or more successive words of a passage of which at most one in six is misspelt
-or replaced; words put in between don't count. Any such run, even with words put in between once, holds
-``GRAM`` successive clean words, so the n-gram set finds all of them; the check then decides each.
-
-The passages are the only side that is broadcast: a fixed evaluation set, refused beyond ``MOST_WORDS``.
+or replaced. Any such run holds ``GRAM`` successive clean words, so the n-gram set finds all of them; the
+check then decides each. Passages of one set resemble each other, so a leak of one is often a faulty run of
+others: a faulty match most of whose right words stand in a longer clean run of another passage is that
+passage's text, and left out unless asked for. Words put in between don't count, up to ``GAP`` at a place, as long as what stands
+between two such places holds ``GRAM`` successive clean words of its own.
+
+Most texts hold no n-gram of the set: a batch of texts is coded by word and looked up at once, and only texts
+that hold one are read with places, cut words and mark-up. The passages are the only side that is broadcast,
+indexed, in blocks of at most ``BLOCK_WORDS``; texts are scanned once for each block.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +26,31 @@ from pyspark.sql import functions as F
 GRAM = 4
 GAP = 12
 ERRORS = 5  # a wrong word costs what five right ones gain: at most one in six is wrong
-MOST_WORDS = 20_000_000
+BLOCK_WORDS = 2_000_000
 
-TAG = re.compile(r"<[^<>]{0,200}>")
+# mark-up: a tag has a name, attributes with values and at most one without; and characters written as entities
+TAG = re.compile(r"""<(?:/?[a-zA-Z][\w:-]*(?:\s+[\w:-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))*(?:\s+[\w:-]+)?\s*/?|!--[^<>]*--)>|&(?:[a-zA-Z]{2,8}|#\d{1,6});""")
 BROKEN = re.compile(r"(?<=\w)[-­‐]\s*\n[\s>|]*(?=\w)|­|​")
 WORD = re.compile(r"[぀-ヿ㐀-鿿฀-๿]|[^\W_]+")
 
 
-@lru_cache(maxsize=100_000)
 def _plain(word: str) -> str:
     """A word without case and accents."""
-    w = unicodedata.normalize("NFKD", word.casefold().replace("đ", "d"))
+    w = word.casefold()
+    if w.isascii():
+        return w
+    w = unicodedata.normalize("NFKD", w.replace("đ", "d"))
     return "".join(c for c in w if not unicodedata.combining(c))
 
 
+def unmarked(text: str) -> str:
+    """The text with blanks in place of mark-up."""
+    return TAG.sub(lambda m: " " * len(m[0]), text) if "<" in text or "&" in text else text
+
+
 def words_of(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
     """The text's words without case, accents, mark-up and hyphenation, and where they stand in the text."""
-    text = text or ""
-    blank = lambda m: " " * len(m[0])
-    clean = TAG.sub(blank, text)
+    clean = unmarked(text or "")
     glue = [(m.start(), m.end()) for m in BROKEN.finditer(clean)]
     out, at = [], []
     g = 0
@@ -58,32 +67,79 @@ def words_of(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
     return out, at
 
 
-def explained(found: list[tuple]) -> list[tuple]:
-    """The matches of one text, less those that may be chance: passages of one set resemble each other, so a leak
-    of one is often a faulty run of others. Of matches that overlap by more than half of the shorter, the one
-    with most words is kept. No query uses it: a match it drops meets the definition all the same."""
-    kept: list[tuple] = []
-    for x in sorted(found, key=lambda f: (-f[3], f[1], str(f[0]))):
-        if all(min(x[2], y[2]) - max(x[1], y[1]) <= 0.5 * (x[2] - x[1]) for y in kept):
-            kept.append(x)
-    return kept
+class Codes(dict):
+    """Numbers of words as they are written, by a vocabulary of plain words; -1 if there is none. It forgets what it has
+    seen when that is much."""
+
+    def __init__(self, vocab: dict[str, int]):
+        super().__init__()
+        self.vocab = vocab
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        code = self[word] = self.vocab.get(_plain(word), -1)
+        return code
+
+
+def gram_hashes(codes: np.ndarray) -> np.ndarray:
+    """A hash of every ``GRAM`` successive codes."""
+    n = len(codes) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for g in range(GRAM):
+            out = (out ^ codes[g : g + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
 
 
 class Passages:
-    """The n-gram set of the passages and the check of one text against it."""
+    """The n-gram set of the passages and the check of texts against it."""
 
     def __init__(self, items: list[tuple], words: int):
         self.words = words
         self.ids, self.codes = [], []
         self.vocab: dict[str, int] = {}
-        self.grams: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
+        hashes, which, where = [], [], []
         for item, passage in items:
-            code = [self.vocab.setdefault(w, len(self.vocab)) for w in words_of(passage)[0]]
-            k = len(self.ids)
+            code = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words_of(passage)[0]], np.int64)
+            h = gram_hashes(code)
+            hashes.append(h)
+            which.append(np.full(len(h), len(self.ids)))
+            where.append(np.arange(len(h)))
             self.ids.append(item)
-            self.codes.append(np.array(code, np.int64))
-            for i in range(len(code) - GRAM + 1):
-                self.grams[tuple(code[i : i + GRAM])].append((k, i))
+            self.codes.append(code)
+        order = np.argsort(np.concatenate(hashes), kind="stable") if hashes else np.zeros(0, np.int64)
+        empty = [np.zeros(0, np.int64)]
+        self.grams = np.concatenate(hashes or [np.zeros(0, np.uint64)])[order]
+        self.which, self.where = np.concatenate(which or empty)[order], np.concatenate(where or empty)[order]
+
+    def candidates(self, texts: list[str | None], seen: Codes) -> list[int]:
+        """Places of the texts that hold an n-gram of the set, and maybe of some that don't: those with cut words, which
+        are read only by ``runs``."""
+        least = self.words - self.words // 6
+        picked, codes, owner = [], [], []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            clean = unmarked(t)
+            if BROKEN.search(clean):
+                picked.append(i)
+                continue
+            code = [seen[w] for w in WORD.findall(clean)]
+            if len(code) - code.count(-1) >= least:
+                codes += code
+                codes += [-1] * GRAM
+                owner += [i] * (len(code) + GRAM)
+        all_codes = np.array(codes, np.int64)
+        h = gram_hashes(all_codes)
+        if len(h) and len(self.grams):
+            at = np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)
+            known = np.flatnonzero(self.grams[at] == h)
+            picked += np.unique(np.array(owner)[known]).tolist()
+        return sorted(picked)
 
     def _run(self, gains: np.ndarray) -> bool:
         """Whether a stretch of at least ``words`` places has a sum that isn't negative."""
@@ -104,18 +160,15 @@ class Passages:
         # a run has at most one wrong word in six, so fewer known words than that hold none
         if (doc >= 0).sum() < self.words - self.words // 6:
             return []
-        hits: dict[int, set[int]] = defaultdict(set)
-        code = doc.tolist()
-        for j in range(len(code) - GRAM + 1):
-            for k, i in self.grams.get(tuple(code[j : j + GRAM]), ()):
-                hits[k].add(j - i)
+        hits = self._hits(doc)
         out = []
-        for k, diagonals in hits.items():
+        for rows in np.split(hits, np.flatnonzero(np.diff(hits[:, 0])) + 1) if len(hits) else ():
+            k, diagonals = int(rows[0, 0]), rows[:, 1]
             passage = self.codes[k]
             n = len(passage)
             if n < self.words:
                 continue
-            ds = np.array(sorted(diagonals))
+            ds = diagonals
             j = np.arange(n) + ds[:, None]
             inside = (j >= 0) & (j < len(doc))
             same = inside & (doc[np.clip(j, 0, len(doc) - 1)] == passage)
@@ -132,13 +185,51 @@ class Passages:
                     last = end
         return out
 
-    def leaks(self, text: str | None) -> list[tuple]:
-        """(item, first character, end, words) of every passage that the text contains, with its longest run."""
+    def _hits(self, doc: np.ndarray) -> np.ndarray:
+        """Different (passage, diagonal) of the n-grams that a coded text shares with passages, in order."""
+        h = gram_hashes(doc)
+        low, high = np.searchsorted(self.grams, h, "left"), np.searchsorted(self.grams, h, "right")
+        size = high - low
+        j = np.repeat(np.arange(len(h)), size)
+        at_gram = np.repeat(low, size) + np.arange(len(j)) - np.repeat(np.cumsum(size) - size, size)
+        return np.unique(np.column_stack([self.which[at_gram], j - self.where[at_gram]]), axis=0)
+
+    def _clean_runs(self, doc: np.ndarray) -> dict[int, np.ndarray]:
+        """For every passage that shares an n-gram, the length of the longest clean run at each place of the text."""
+        out: dict[int, np.ndarray] = {}
+        for k, d in self._hits(doc).tolist():
+            low, high = max(0, d), min(len(doc), len(self.codes[k]) + d)
+            same = np.concatenate([[0], doc[low:high] == self.codes[k][low - d : high - d], [0]]).astype(np.int64)
+            turn = np.flatnonzero(np.diff(same))
+            length = np.zeros(len(doc), np.int64)
+            for s, e in zip(turn[::2], turn[1::2]):
+                length[low + s : low + e] = e - s
+            out[k] = np.maximum(out[k], length) if k in out else length
+        return out
+
+    def leaks(self, text: str | None, likenesses: bool = False) -> list[tuple]:
+        """(item, first character, end, words) of every passage that the text contains, with its longest run. Without
+        ``likenesses``, a match without a clean run of ``words`` is left out if at more than half of its right words
+        another passage has a longer clean run; equal passages never leave each other out."""
         best: dict = {}
         for x in self.runs(text):
             if x[0] not in best or x[3] > best[x[0]][3]:
                 best[x[0]] = x
-        return list(best.values())
+        if likenesses or not best:
+            return list(best.values())
+        found, at = words_of(text)
+        doc = np.array([self.vocab.get(w, -1) for w in found], np.int64)
+        starts, ends = np.array(at).T
+        lengths = self._clean_runs(doc)
+        number = {item: k for k, item in enumerate(self.ids) if item in best}
+        out = []
+        for item, x in best.items():
+            mine = np.where((starts >= x[1]) & (ends <= x[2]), lengths[number[item]], 0)
+            longest = np.max([n for k, n in lengths.items() if k != number[item]] or [np.zeros(len(doc), np.int64)], axis=0)
+            right = mine > 0
+            if mine.max() >= self.words or (longest[right] > mine[right]).mean() <= 0.5:
+                out.append(x)
+        return out
 
     def _straight(self, same: np.ndarray, d: int, size: int) -> list[tuple[int, int, int]]:
         """(first, last, words), places in the text: for each right word of a diagonal the longest run that begins there."""
@@ -185,29 +276,43 @@ class Passages:
 
 
 def _scanned(documents: DataFrame, items: DataFrame, read: Callable[[Passages, str], list[tuple]], doc: str, text: str, item: str, passage: str, words: int) -> DataFrame:
-    rows = items.where(F.col(item).isNotNull() & F.col(passage).isNotNull()).select(item, passage).distinct()
-    size = rows.agg(F.sum(F.length(passage))).first()[0] or 0
-    if size > MOST_WORDS * 6:
-        raise ValueError("the evaluation set is too large to broadcast")
-    held = [(r[0], r[1]) for r in rows.orderBy(item, passage).collect()]
-    kinds = {**dict(documents.dtypes), **{"item": dict(items.dtypes)[item]}}
-    sent = documents.sparkSession.sparkContext.broadcast(held)
-    types = [documents.schema[doc].dataType, items.schema[item].dataType]
     from pyspark.sql.pandas.types import to_arrow_type
 
-    doc_t, item_t = (to_arrow_type(t) for t in types)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = Passages(sent.value, words)
-        for b in batches:
-            got = [(d, *leak) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for leak in read(test, t)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g[k] for g in got], t) for k, t in enumerate((doc_t, item_t, pa.int32(), pa.int32(), pa.int32()))],
-                names=["doc_id", "item_id", "start", "end", "words"],
-            )
-
+    rows = items.where(F.col(item).isNotNull() & F.col(passage).isNotNull()).select(item, passage).distinct()
+    kinds = {**dict(documents.dtypes), **{"item": dict(items.dtypes)[item]}}
+    doc_t, item_t = (to_arrow_type(t) for t in (documents.schema[doc].dataType, items.schema[item].dataType))
     wanted = documents.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(doc, text)
-    return wanted.mapInArrow(scan, f"doc_id {kinds[doc]}, item_id {kinds['item']}, start int, end int, words int")
+    schema = f"doc_id {kinds[doc]}, item_id {kinds['item']}, start int, end int, words int"
+
+    def against(block: list[tuple]) -> DataFrame:
+        sent = documents.sparkSession.sparkContext.broadcast(Passages(block, words))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            test = sent.value
+            seen = Codes(test.vocab)
+            for b in batches:
+                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                got = [(ids[i], *leak) for i in test.candidates(texts, seen) for leak in read(test, texts[i])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g[k] for g in got], t) for k, t in enumerate((doc_t, item_t, pa.int32(), pa.int32(), pa.int32()))],
+                    names=["doc_id", "item_id", "start", "end", "words"],
+                )
+
+        return wanted.mapInArrow(scan, schema)
+
+    parts, block, size = [], [], 0
+    for r in rows.orderBy(item, passage).toLocalIterator():
+        block.append((r[0], r[1]))
+        size += len(r[1]) // 5 + 1
+        if size >= BLOCK_WORDS:
+            parts.append(against(block))
+            block, size = [], 0
+    if block or not parts:
+        parts.append(against(block))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def find_runs(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", words: int = 15) -> DataFrame:
@@ -217,11 +322,12 @@ def find_runs(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", te
     return _scanned(documents, items, Passages.runs, doc, text, item, passage, words).distinct()
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", words: int = 15) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", words: int = 15, likenesses: bool = False) -> DataFrame:
     """(doc_id, item_id, start, end, words): every pair of a document and a passage it contains, with its longest
-    run (of equal ones the first). Otherwise as ``find_runs``."""
+    run (of equal ones the first). Faulty runs that are another passage's text are left out unless ``likenesses``
+    are asked for (see ``Passages.leaks``). Otherwise as ``find_runs``."""
     best = F.max_by(F.struct("start", "end", "words"), F.struct("words", -F.col("start"), "end")).alias("best")
-    found = _scanned(documents, items, Passages.leaks, doc, text, item, passage, words)
+    found = _scanned(documents, items, lambda test, t: test.leaks(t, likenesses), doc, text, item, passage, words)
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 

@@ -81,6 +81,11 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_likenesses(spark: SparkSession, d: str) -> DataFrame:
+    """``p8_leaks`` with the faulty runs that are another passage's text."""
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), likenesses=True)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id")
 
@@ -114,7 +119,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_neighbours, p3_found, p3_sentences, p4_found, p4_splits, p4_shares, p5_found, p5_consensus, p5_sources, p5_agreement, p6_found, p6_top,
-        p7_found, p7_report, p8_found, p8_leaks, p8_report, p8_cleaned, p9_mixture, p9_shares, p10_found, p10_redacted,
+        p7_found, p7_report, p8_found, p8_leaks, p8_likenesses, p8_report, p8_cleaned, p9_mixture, p9_shares, p10_found, p10_redacted,
     )
 }
 

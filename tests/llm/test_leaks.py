@@ -34,27 +34,21 @@ def test_against_brute_force():
     vocab = [f"w{i}" for i in range(12)]
     passages = [(k, " ".join(rng.choice(vocab) for _ in range(30))) for k in range(3)]
     test = Passages(passages, 15)
-    import tamarack.llm.leaks as L
-
-    keep, L.explained = L.explained, lambda x: x
-    try:
-        for _ in range(150):
-            k, p = rng.choice(passages)
-            w = p.split()
-            a, n = rng.randrange(0, 16), rng.randrange(12, 20)
-            piece = w[a : a + n]
-            for _ in range(rng.randrange(0, 4)):
-                piece[rng.randrange(len(piece))] = "zz"
-            doc = ["q"] * 5 + piece + ["q"] * 5
-            want = any(
-                sum(w[i + o] != doc[j + o] for o in range(m)) * 6 <= m
-                for m in range(15, 31)
-                for i in range(0, 31 - m)
-                for j in range(0, len(doc) - m + 1)
-            )
-            assert (k in [x[0] for x in test.leaks(" ".join(doc))]) == want
-    finally:
-        L.explained = keep
+    for _ in range(150):
+        k, p = rng.choice(passages)
+        w = p.split()
+        a, n = rng.randrange(0, 16), rng.randrange(12, 20)
+        piece = w[a : a + n]
+        for _ in range(rng.randrange(0, 4)):
+            piece[rng.randrange(len(piece))] = "zz"
+        doc = ["q"] * 5 + piece + ["q"] * 5
+        want = any(
+            sum(w[i + o] != doc[j + o] for o in range(m)) * 6 <= m
+            for m in range(15, 31)
+            for i in range(0, 31 - m)
+            for j in range(0, len(doc) - m + 1)
+        )
+        assert (k in [x[0] for x in test.leaks(" ".join(doc), likenesses=True)]) == want
 
 
 def test_rows(spark):
@@ -129,3 +123,28 @@ def test_every_passage_that_meets_the_definition_is_found():
     assert sorted(x[0] for x in test.leaks(f"one {P} two")) == [1, 2, 3, 4, 5]
     bent = " ".join(W[:12] + "as it says on the sheet".split() + W[12:])
     assert sorted((x[0], x[3]) for x in test.leaks(bent)) == [(1, 35), (2, 35), (3, 16), (4, 35), (5, 19)]
+
+
+def test_likenesses_of_other_passages():
+    a = "after the storm the pilot weighed the amber lantern behind the old mill because page 41 was missing and nobody noticed".split()
+    b = list(a)
+    b[4], b[12] = "courier", "new"
+    test = Passages([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a))], 15)
+    assert sorted(x[0] for x in test.leaks("so " + " ".join(a) + " so")) == [1, 3]  # equal passages stay
+    assert sorted(x[0] for x in test.leaks("so " + " ".join(a) + " so", likenesses=True)) == [1, 2, 3]
+    misspelt = list(a)
+    misspelt[6], misspelt[15] = "teh", "pgae"
+    assert sorted(x[0] for x in test.leaks(" ".join(misspelt))) == [1, 3]
+    only = Passages([(2, " ".join(b))], 15)
+    assert [x[0] for x in only.leaks(" ".join(a))] == [2]  # nothing else explains it
+
+
+def test_mark_up_and_blocks(spark, monkeypatch):
+    import tamarack.llm.leaks as L
+
+    assert words_of("a < b and c > d")[0] == ["a", "b", "and", "c", "d"]
+    assert words_of("x <b class='y'>e</b> f&nbsp;g<br/>h <!-- no -->i")[0] == ["x", "e", "f", "g", "h", "i"]
+    items = spark.createDataFrame([(k, "b", " ".join(f"w{k}x{i}" for i in range(20))) for k in range(6)], "item_id bigint, benchmark string, passage string")
+    docs = items.select("item_id", "passage").withColumnRenamed("item_id", "doc_id").withColumnRenamed("passage", "text")
+    monkeypatch.setattr(L, "BLOCK_WORDS", 30)
+    assert {(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()} == {(k, k) for k in range(6)}
