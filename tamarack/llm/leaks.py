@@ -194,10 +194,10 @@ class Passages:
         at_gram = np.repeat(low, size) + np.arange(len(j)) - np.repeat(np.cumsum(size) - size, size)
         return np.unique(np.column_stack([self.which[at_gram], j - self.where[at_gram]]), axis=0)
 
-    def _clean_runs(self, doc: np.ndarray) -> dict[int, np.ndarray]:
-        """For every passage that shares an n-gram, the length of the longest clean run at each place of the text."""
+    def _clean_runs(self, doc: np.ndarray, hits: list[list[int]]) -> dict[int, np.ndarray]:
+        """For every passage of the hits, the length of its longest clean run at each place of the text."""
         out: dict[int, np.ndarray] = {}
-        for k, d in self._hits(doc).tolist():
+        for k, d in hits:
             low, high = max(0, d), min(len(doc), len(self.codes[k]) + d)
             same = np.concatenate([[0], doc[low:high] == self.codes[k][low - d : high - d], [0]]).astype(np.int64)
             turn = np.flatnonzero(np.diff(same))
@@ -220,11 +220,16 @@ class Passages:
         found, at = words_of(text)
         doc = np.array([self.vocab.get(w, -1) for w in found], np.int64)
         starts, ends = np.array(at).T
-        lengths = self._clean_runs(doc)
-        number = {item: k for k, item in enumerate(self.ids) if item in best}
+        hits = self._hits(doc).tolist()
+        number = {self.ids[k]: k for k, _ in hits if self.ids[k] in best}
+        own = self._clean_runs(doc, [h for h in hits if self.ids[h[0]] in best])
+        within = {item: np.where((starts >= x[1]) & (ends <= x[2]), own[number[item]], 0) for item, x in best.items()}
+        if all(n.max() >= self.words for n in within.values()):
+            return list(best.values())
+        lengths = self._clean_runs(doc, hits)
         out = []
         for item, x in best.items():
-            mine = np.where((starts >= x[1]) & (ends <= x[2]), lengths[number[item]], 0)
+            mine = within[item]
             longest = np.max([n for k, n in lengths.items() if k != number[item]] or [np.zeros(len(doc), np.int64)], axis=0)
             right = mine > 0
             if mine.max() >= self.words or (longest[right] > mine[right]).mean() <= 0.5:
