@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("hierarchies", "corpus", "retrieval", "graphs")
+MODULES = ("hierarchies", "corpus", "retrieval", "graphs", "assessment")
 
 
 def all_queries() -> tuple[dict, dict]:
