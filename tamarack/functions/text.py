@@ -88,9 +88,10 @@ def hex_mod(c: Column | str, modulus: int) -> Column:
 
 
 def singular_candidate(c: Column | str) -> Column:
-    """-ies to -y, else without a final s; null where there is none (as, ss, us and is are kept)."""
+    """-ies to -y, else without a final s; null where there is none: as, ss, us and is are kept, and a lone s."""
     w = col(c)
-    return F.when(w.rlike("[^aeiou]ies$"), F.regexp_replace(w, "ies$", "y")).when(w.rlike("s$") & ~w.rlike("(as|ss|us|is)$") & (F.length(w) > 2), F.regexp_replace(w, "s$", ""))
+    plural = w.rlike("[^ ]s$") & ~w.rlike("(as|ss|us|is)$")
+    return F.when(plural & w.rlike("ies$"), F.regexp_replace(w, "ies$", "y")).when(plural, F.regexp_replace(w, "s$", ""))
 
 
 def strip_words(c: Column | str, words: list[str]) -> Column:

@@ -184,7 +184,7 @@ def n_pool(spark: SparkSession, d: str) -> DataFrame:
     """WITH rank AS (SELECT evidence_id, study_id, concept, CASE polarity WHEN 'PRESENT' THEN 1 WHEN 'UNCERTAIN' THEN 2 WHEN 'ABSENT' THEN 3 ELSE 4 END AS r FROM evidence WHERE concept IS NOT NULL)
 SELECT study_id, concept, CASE min(r) WHEN 1 THEN 'PRESENT' WHEN 2 THEN 'UNCERTAIN' WHEN 3 THEN 'ABSENT' ELSE 'NOT_MENTIONED' END AS status FROM rank GROUP BY ALL"""
 )
-def silver_status(spark: SparkSession, d: str) -> DataFrame:
+def evidence_status(spark: SparkSession, d: str) -> DataFrame:
     """The strongest polarity that any evidence of a study gives a concept."""
     order = F.when(F.col("polarity") == "PRESENT", 1).when(F.col("polarity") == "UNCERTAIN", 2).when(F.col("polarity") == "ABSENT", 3).otherwise(4)
     best = table(spark, d, "evidence").where("concept IS NOT NULL").groupBy("study_id", "concept").agg(F.min(order).alias("r"))
@@ -231,7 +231,7 @@ rare AS (SELECT query, w FROM asked LEFT JOIN df USING (w) QUALIFY row_number()
 pair AS (SELECT DISTINCT query, cui, text FROM rare JOIN (SELECT cui, text, unnest(nw) AS w FROM n) USING (w)),
 loose AS (SELECT query, cui, CASE WHEN len(list_intersect(qw, nw)) / len(qw) >= 0.5 THEN 1 ELSE 2 END AS tier, round_even(2.0 * len(list_intersect(qw, nw)) / (len(qw) + len(nw)), 3)::DOUBLE AS score FROM pair JOIN q USING (query) JOIN n USING (cui, text)),
 qn AS (SELECT query, trim(regexp_replace(lower(query), '[^a-z0-9]+', ' ', 'g')) AS norm FROM q),
-forms AS (SELECT query, norm FROM qn UNION SELECT query, CASE WHEN regexp_matches(norm, '[^aeiou]ies$') THEN regexp_replace(norm, 'ies$', 'y') WHEN regexp_matches(norm, 's$') AND NOT regexp_matches(norm, '(as|ss|us|is)$') AND length(norm) > 2 THEN regexp_replace(norm, 's$', '') END FROM qn),
+forms AS (SELECT query, norm FROM qn UNION SELECT query, CASE WHEN regexp_matches(norm, '[^ ]s$') AND NOT regexp_matches(norm, '(as|ss|us|is)$') THEN CASE WHEN regexp_matches(norm, 'ies$') THEN regexp_replace(norm, 'ies$', 'y') ELSE regexp_replace(norm, 's$', '') END END FROM qn),
 exact AS (SELECT DISTINCT query, cui, 0 AS tier, 1.0::DOUBLE AS score FROM forms JOIN (SELECT cui, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm FROM n) USING (norm) WHERE norm <> ''),
 best AS (SELECT * FROM (SELECT * FROM exact UNION ALL SELECT * FROM loose) QUALIFY row_number() OVER (PARTITION BY query, cui ORDER BY tier, score DESC) = 1)
 SELECT query, cui, CAST(tier AS INTEGER) AS tier, score, CAST(row_number() OVER (PARTITION BY query ORDER BY tier, score DESC, cui) AS INTEGER) AS rank FROM best QUALIFY row_number() OVER (PARTITION BY query ORDER BY tier, score DESC, cui) <= 12"""
