@@ -169,3 +169,123 @@ SELECT correct, graded, unsure, round(p, 6) AS precision, round((p + zz / (2 * g
 def link_precision(spark: SparkSession, d: str) -> DataFrame:
     k = F.length("string") % 4
     return K.precision(decided(spark, d).where("cui IS NOT NULL").withColumn("grade", F.when(k == 0, "incorrect").when(k == 1, "unsure").otherwise("correct")), "grade")
+
+
+# graph building over the concepts of the edge table
+
+from tamarack.operators import graph as G  # noqa: E402
+from tamarack.operators import kgraph as B  # noqa: E402
+from tamarack.queries.graphs import CLEAN, edges, links, scorable  # noqa: E402
+from tamarack.queries.retrieval import SCORES, scores  # noqa: E402
+from tamarack.session import cut  # noqa: E402
+
+
+@query(
+    TERMS.replace("WITH RECURSIVE", "WITH RECURSIVE", 1) + """, core(cui, kind) AS (VALUES ('Brand#1', 'Anatomy'), ('Brand#3', 'Observation'), ('Brand#9', 'Observation')), finds AS (SELECT DISTINCT cui FROM types WHERE type IN ('T1', 'T2', 'T4')),
+dom AS (SELECT DISTINCT kind, cui FROM types, (VALUES ('Anatomy'), ('Observation')) k(kind)), obs AS (SELECT cui FROM dom JOIN finds USING (cui) WHERE kind = 'Observation'),
+g AS (SELECT child AS cui, 'Anatomy' AS kind FROM rel JOIN core ON parent = cui WHERE kind = 'Anatomy' AND child IN (SELECT cui FROM dom) UNION SELECT parent, 'Anatomy' FROM rel JOIN core ON child = cui WHERE kind = 'Anatomy' AND parent IN (SELECT cui FROM dom)
+  UNION SELECT child, 'Observation' FROM rel JOIN core ON parent = core.cui WHERE kind = 'Observation' AND core.cui IN (SELECT cui FROM finds) AND child IN (SELECT cui FROM obs)
+  UNION SELECT parent, 'Observation' FROM rel JOIN core ON child = core.cui WHERE kind = 'Observation' AND core.cui IN (SELECT cui FROM finds) AND parent IN (SELECT cui FROM obs) AND parent <> 'Brand#2'),
+lat AS (SELECT cui FROM (SELECT cui, text FROM names QUALIFY row_number() OVER (PARTITION BY cui ORDER BY NOT preferred, CASE WHEN list_position(['STANDARD', 'ECONOMY', 'PROMO'], source) > 0 THEN list_position(['STANDARD', 'ECONOMY', 'PROMO'], source) - 1 ELSE 3 END, source, text) = 1) WHERE list_has_any(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), ['small', 'large']))
+SELECT cui, kind, true AS in_core FROM core UNION ALL SELECT cui, kind, false FROM g WHERE cui NOT IN (SELECT cui FROM lat) AND (cui, kind) NOT IN (SELECT (cui, kind) FROM core)"""
+)
+def core_growth(spark: SparkSession, d: str) -> DataFrame:
+    core = spark.createDataFrame([("Brand#1", "Anatomy"), ("Brand#3", "Observation"), ("Brand#9", "Observation")], "cui string, kind string")
+    every = types(spark, d).select("cui").distinct().crossJoin(F.broadcast(spark.createDataFrame([("Anatomy",), ("Observation",)], "kind string")))
+    findings = types(spark, d).where("type IN ('T1', 'T2', 'T4')").select("cui").distinct()
+    r = relations(spark, d)
+    stop = spark.createDataFrame([("Brand#2",)], "node string")
+    return B.grow(core, every, findings, r, r, K.describe(names(spark, d), types(spark, d), ORDER), anatomy_depth=1, down=1, up=1, stop=stop, sides=SIDES)
+
+
+@query(TERMS + ", e AS (SELECT DISTINCT child, parent, source FROM rel JOIN names ON names.cui = child) SELECT child AS src, 'IS_A' AS rel, parent AS dst, string_agg(DISTINCT source, ',' ORDER BY source) AS source FROM e GROUP BY ALL")
+def hierarchy_edges(spark: SparkSession, d: str) -> DataFrame:
+    stated = relations(spark, d).join(names(spark, d).select(F.col("cui").alias("child"), "source").distinct(), "child")
+    return B.hierarchy_edges(stated, types(spark, d), "IS_A").select("src", "rel", "dst", "source")
+
+
+@query(
+    TERMS + """, a AS (SELECT cui, text, trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g')) AS norm, 'en' AS lang, source FROM names)
+SELECT cui, text, norm, lang, source FROM a QUALIFY row_number() OVER (PARTITION BY cui, norm, lang ORDER BY CASE WHEN list_position(['STANDARD', 'ECONOMY', 'PROMO'], source) > 0 THEN list_position(['STANDARD', 'ECONOMY', 'PROMO'], source) - 1 ELSE 3 END, text, source) = 1"""
+)
+def alias_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = names(spark, d).withColumn("lang", F.lit("en")).groupBy("cui", "text", "lang").agg(F.min_by("source", F.struct(K.source_rank(ORDER), "source")).alias("source"))
+    return B.alias_table(rows, ORDER)
+
+
+@query(
+    TERMS + """, a AS (SELECT DISTINCT cui, trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g')) AS norm FROM names), o AS (SELECT norm, count(*) AS n FROM a GROUP BY norm)
+SELECT cui, norm, array_to_string(list_filter([CASE WHEN norm IN ('red bolt', 'hot gear') THEN 'blocked' END, CASE WHEN n > 1 THEN 'ambiguous' END, CASE WHEN length(norm) < 3 THEN 'short' END], lambda x: x IS NOT NULL), ';') AS flags FROM a JOIN o USING (norm)"""
+)
+def alias_flags(spark: SparkSession, d: str) -> DataFrame:
+    return B.alias_flags(alias_table(spark, d), ["red bolt", "hot gear"])
+
+
+@query(CLEAN + "SELECT cui, array_to_string(list_slice(list_sort(list(DISTINCT parent) FILTER (parent IS NOT NULL)), 1, 3), '/') AS parents FROM scorable LEFT JOIN (SELECT * FROM links WHERE rel = 'IS_A') l ON l.child = cui GROUP BY cui")
+def concept_parents(spark: SparkSession, d: str) -> DataFrame:
+    return B.parents_of(links(spark, d), scorable(edges(spark, d))).select("cui", F.when(F.size("parents") > 0, F.array_join("parents", "/")).alias("parents"))
+
+
+@query(CLEAN + "SELECT src, dst, n, p FROM clean WHERE rel = 'SUGGESTS' ORDER BY n DESC NULLS LAST, p DESC NULLS LAST, src, dst LIMIT 30")
+def strongest_edges(spark: SparkSession, d: str) -> DataFrame:
+    return B.strongest_edges(edges(spark, d), "SUGGESTS", 30).select("src", "dst", "n", "p")
+
+
+@query(
+    SCORES + "SELECT concept, vec_id AS image, round(logit, 6) AS logit, CAST(row_number() OVER (PARTITION BY concept ORDER BY round(logit, 6) DESC, vec_id) AS INTEGER) AS rank FROM (UNPIVOT (SELECT vec_id, "
+    + ", ".join(f"c{i}" for i in range(10)) + " FROM s) ON * EXCLUDE (vec_id) INTO NAME concept VALUE logit) QUALIFY row_number() OVER (PARTITION BY concept ORDER BY round(logit, 6) DESC, vec_id) <= 5"
+)
+def predicted_edges(spark: SparkSession, d: str) -> DataFrame:
+    rows = scores(spark, d).select("vec_id", *[F.round(f"c{i}", 6).alias(f"c{i}") for i in range(10)])
+    return B.predicted_edges(rows, [f"c{i}" for i in range(10)], "vec_id", 5)
+
+
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Concepts of the edge table with labels by what relations they have; mentioned as often as they have edges."""
+    e = edges(spark, d)
+    ends = e.select(F.explode(F.array(F.struct(F.col("src").alias("cui"), F.concat(F.lit("s"), "rel").alias("r")), F.struct(F.col("dst").alias("cui"), F.concat(F.lit("d"), "rel").alias("r")))).alias("x")).select("x.*")
+    n = ends.where("cui LIKE 'C%'").groupBy("cui").agg(F.count(F.lit(1)).alias("n_pool"), F.bool_or(F.col("r") == "dSUGGESTS").alias("dis"), F.bool_or(F.col("r") == "dTYPICALLY_AT").alias("ana"), F.bool_or(F.col("r").isin("sSUGGESTS", "sTYPICALLY_AT")).alias("scorable"))
+    labels = F.array_join(F.array_compact(F.array(F.when(F.col("ana"), "Anatomy"), F.when(F.col("dis"), "Disease"), F.when(~F.col("ana") & ~F.col("dis"), "Finding"))), ",")
+    return cut(n.select("cui", F.col("cui").alias("name"), labels.alias("labels"), "scorable", "n_pool"))
+
+
+NODES = CLEAN + """, ends AS (SELECT src AS cui, 's' || rel AS r FROM clean UNION ALL SELECT dst, 'd' || rel FROM clean),
+nodes AS (SELECT cui, count(*) AS n_pool, concat_ws(',', CASE WHEN bool_or(r = 'dTYPICALLY_AT') THEN 'Anatomy' END, CASE WHEN bool_or(r = 'dSUGGESTS') THEN 'Disease' END, CASE WHEN NOT bool_or(r IN ('dTYPICALLY_AT', 'dSUGGESTS')) THEN 'Finding' END) AS labels, bool_or(r IN ('sSUGGESTS', 'sTYPICALLY_AT')) AS scorable FROM ends WHERE cui LIKE 'C%' GROUP BY cui)
+"""
+
+
+@query(NODES + "SELECT 'node' AS what, name, count(*) AS n FROM (SELECT unnest(string_split(labels, ',')) AS name FROM nodes) GROUP BY name UNION ALL SELECT 'edge', rel, count(*) FROM clean GROUP BY rel")
+def graph_counts(spark: SparkSession, d: str) -> DataFrame:
+    return B.graph_counts(graph_nodes(spark, d), edges(spark, d))
+
+
+@query(
+    NODES + """, r AS (SELECT cui, n_pool, CASE WHEN list_has_any(string_split(labels, ','), ['Anatomy', 'Device']) OR NOT list_has_any(string_split(labels, ','), ['Finding', 'Disease']) THEN 'anatomy or device' WHEN cui LIKE '%7' THEN 'nothing names it' ELSE '' END AS reason FROM nodes),
+k AS (SELECT cui, row_number() OVER (ORDER BY n_pool DESC, cui) AS i FROM r WHERE reason = '')
+SELECT r.cui, r.n_pool, CASE WHEN i <= 40 THEN 'candidate' ELSE 'excluded' END AS status, CASE WHEN i > 40 THEN 'beyond the first 40' ELSE reason END AS reason FROM r LEFT JOIN k USING (cui)"""
+)
+def candidate_cascade(spark: SparkSession, d: str) -> DataFrame:
+    n = graph_nodes(spark, d)
+    strings = n.where("cui NOT LIKE '%7'").select("cui", F.concat(F.lit("name of "), "cui").alias("string"), F.lit(1).alias("mentions"))
+    return B.candidate_cascade(n, strings, [], [], 40).select("cui", "n_pool", "status", "reason")
+
+
+@query(
+    NODES + """, walk(seed, cui) AS (SELECT cui, cui FROM nodes UNION SELECT w.seed, l.child FROM walk w JOIN links l ON l.rel = 'IS_A' AND l.parent = w.cui),
+up(seed, cui, h) AS (SELECT cui, cui, 0 FROM nodes UNION SELECT u.seed, l.parent, u.h + 1 FROM up u JOIN links l ON l.rel = 'IS_A' AND l.child = u.cui WHERE u.h < 3)
+SELECT n.cui, CASE WHEN scorable THEN 'direct' WHEN EXISTS (SELECT 1 FROM walk w JOIN scorable s ON s.cui = w.cui WHERE w.seed = n.cui) THEN 'wider' WHEN EXISTS (SELECT 1 FROM up w JOIN scorable s ON s.cui = w.cui WHERE w.seed = n.cui) THEN 'narrower'
+  WHEN list_contains(string_split(labels, ','), 'Disease') AND n.cui IN (SELECT dst FROM clean WHERE rel = 'SUGGESTS' AND coalesce(review, 'keep') <> 'drop') THEN 'suggests' WHEN list_contains(string_split(labels, ','), 'Anatomy') AND n.cui IN (SELECT dst FROM clean WHERE rel = 'TYPICALLY_AT') THEN 'typically_at' ELSE 'none' END AS route FROM nodes n"""
+)
+def concept_routes(spark: SparkSession, d: str) -> DataFrame:
+    n, e, l = graph_nodes(spark, d), edges(spark, d), links(spark, d)
+    seeds, s = n.select(F.col("cui").alias("seed")), scorable(e)
+    down = G.steps(l.select(F.col("parent").alias("a"), F.col("child").alias("b")), seeds.select("seed", F.col("seed").alias("node"))).join(s.select(F.col("cui").alias("node")), "node", "left_semi").select("seed", F.col("node").alias("cui"))
+    up = G.scorable_above(l, seeds, s, 3)
+    into = lambda rel, c: e.where((F.col("rel") == rel) & c).select(F.col("dst").alias("seed"), F.col("src").alias("cui"))
+    return B.routes(n, down, up, into("SUGGESTS", G.kept()), into("TYPICALLY_AT", F.lit(True)), s.limit(0))
+
+
+@query(CLEAN + "SELECT count(*) AS n FROM clean e WHERE src IN (SELECT cui FROM scorable) AND dst IN (SELECT cui FROM scorable)")
+def edges_between_nodes(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return G.missing_ends(e, scorable(e)).agg(F.count(F.lit(1)).alias("n"))
