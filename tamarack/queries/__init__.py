@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("hierarchies", "corpus", "retrieval", "graphs", "assessment", "vocabulary", "terminology")
+MODULES = ("hierarchies", "corpus", "retrieval", "graphs", "assessment", "vocabulary", "terminology", "builds")
 
 
 def all_queries() -> tuple[dict, dict]:
