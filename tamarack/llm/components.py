@@ -116,4 +116,4 @@ def split_shares(assigned: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("images"), F.sum((F.col("image_id") == F.col("group_image_id")).cast("bigint")).alias("groups")
     )
     total = by.agg(F.sum("images").alias("ti"), F.sum("groups").alias("tg"))
-    return by.crossJoin(total).select("split", "images", "groups", F.expr("images / ti").alias("image_share"), F.expr("groups / tg").alias("group_share"))
+    return by.crossJoin(total).select("split", "images", "groups", F.expr("round(images / ti, 6)").alias("image_share"), F.expr("round(groups / tg, 6)").alias("group_share"))

@@ -167,8 +167,17 @@ links AS (
 ), near AS (SELECT DISTINCT x.image_id AS a, y.image_id AS b FROM links x JOIN links y USING (key)),
 reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a)
 SELECT min(b) AS group_image_id, a AS image_id FROM reach GROUP BY a HAVING min(b) <> a"""
+_DRAW = "-{w} / ln((CAST('0x' || substr(sha256('20:{n}:' || g), 1, 13) AS BIGINT) + 1) / (pow(16.0, 13) + 1))"
+_SPLITS = (
+    _GROUPS.replace("SELECT min(b) AS group_image_id, a AS image_id FROM reach GROUP BY a HAVING min(b) <> a", ", grouped AS (SELECT a AS image_id, min(b) AS g FROM reach GROUP BY a)").rstrip()
+    + ", every AS (SELECT i.image_id, coalesce(g, i.image_id) AS g FROM (SELECT DISTINCT image_id FROM images WHERE image_id IS NOT NULL) i LEFT JOIN grouped USING (image_id))"
+    + ", drawn AS (SELECT image_id, g, " + ", ".join(_DRAW.format(w=w, n=n) + f" AS {n}" for n, w in (("test", 0.1), ("train", 0.8), ("validation", 0.1))) + " FROM every)"
+    + ", splits AS (SELECT image_id, g AS group_image_id, CASE WHEN validation >= train AND validation >= test THEN 'validation' WHEN train >= test THEN 'train' ELSE 'test' END AS split FROM drawn)"
+)
 SQL = {
     "p4_found": _GROUPS,
+    "p4_splits": _SPLITS + " SELECT image_id, group_image_id, split FROM splits",
+    "p4_shares": _SPLITS + " SELECT split, count(*) AS images, count(*) FILTER (image_id = group_image_id) AS groups, round(count(*) / (SELECT count(*) FROM splits)::DOUBLE, 6) AS image_share, round(count(*) FILTER (image_id = group_image_id) / (SELECT count(*) FILTER (image_id = group_image_id) FROM splits)::DOUBLE, 6) AS group_share FROM splits GROUP BY split",
     "p9_checks": f"""SELECT t.source, d.source IS NOT NULL AS present, true AS share_met, true AS cap_kept, true AS no_repeats
 FROM (SELECT {_NAME} AS source, target_share, max_repeats FROM mix_targets) t LEFT JOIN (SELECT DISTINCT {_NAME} AS source FROM documents WHERE length(text) > 0 AND doc_id IS NOT NULL) d
 ON t.source = d.source AND t.target_share > 0 AND t.max_repeats > 0 WHERE t.source IS NOT NULL""",
