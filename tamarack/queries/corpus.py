@@ -238,19 +238,23 @@ def report_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "reports").select("study_id", F.concat_ws("\n\n", X.blank_to_null("impression"), X.blank_to_null("findings")).alias("body"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS norm, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS text_key FROM documents WHERE title IS NOT NULL AND regexp_full_match(title, '[ -~]*')")
-def name_norms(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where("title IS NOT NULL AND title RLIKE '^[ -~]*$'")
-    return rows.select("doc_id", X.name_norm("title").alias("norm"), X.text_key("title").alias("text_key"))
+# words of any script, as X.word_norm makes them, with the underscore as a separator
+WORDS = "regexp_replace(lower({c}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}]+', ' ', 'g')"
 
 
-@query()
-def name_norms_all(spark: SparkSession, d: str) -> DataFrame:
-    """``name_norms`` over titles of any script."""
+@query(f"SELECT doc_id, trim({WORDS.format(c='title')}) AS norm, replace(trim({WORDS.format(c='title')}), ' ', '') AS text_key FROM documents WHERE title IS NOT NULL")
+def name_norms(spark: SparkSession, d: str) -> DataFrame:
+    """Normal forms of titles of any script."""
     norm = X.word_norm(F.translate("title", "_", " "))
     return table(spark, d, "documents").where("title IS NOT NULL").select("doc_id", norm.alias("norm"), F.replace(norm, F.lit(" "), F.lit("")).alias("text_key"))
 
 
+@query("SELECT cui, norm, text_key FROM (SELECT 'P' || p_partkey AS cui, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS norm, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS text_key FROM part)")
+def ascii_norms(spark: SparkSession, d: str) -> DataFrame:
+    """The ASCII normal form of names."""
+    return table(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("cui"), X.name_norm("p_name").alias("norm"), X.text_key("p_name").alias("text_key"))
+
+
 @query(
     """SELECT doc_id, trim(regexp_replace(lower(title), '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]+', ' ', 'g')) AS norm, translate(lower(title), 'àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ', 'aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyyd') AS bare,
   regexp_matches(lower(text), '[ăâđêôơưàáảãạắằẳẵặấầẩẫậèéẻẽẹếềểễệìíỉĩịòóỏõọốồổỗộớờởỡợùúủũụứừửữựýỳỷỹỵ]') AS vietnamese FROM documents"""
@@ -260,17 +264,11 @@ def word_norms(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT study_id, unnest(string_split_regex(trim(regexp_replace(lower(findings), '[^a-z0-9]+', ' ', 'g')), ' ')) AS term FROM (SELECT DISTINCT study_id, findings FROM reports WHERE findings IS NOT NULL AND regexp_full_match(findings, '[ -~\n]*')))
+    f"""WITH w AS (SELECT study_id, unnest(string_split(trim({WORDS.format(c='findings')}), ' ')) AS term FROM (SELECT DISTINCT study_id, findings FROM reports WHERE findings IS NOT NULL AND study_id IS NOT NULL))
 SELECT term, count(DISTINCT study_id) AS df, count(*) AS tf FROM w WHERE term <> '' GROUP BY term"""
 )
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "reports").select("study_id", "findings").distinct().where("findings IS NOT NULL AND findings RLIKE '^[ -~\\n]*$'")
-    return document_frequency(token_index(rows.withColumn("findings", X.name_norm("findings")), "study_id", "findings"))
-
-
-@query()
-def inverted_index_all(spark: SparkSession, d: str) -> DataFrame:
-    """``inverted_index`` over findings of any script."""
+    """Document and term frequencies of findings of any script."""
     rows = table(spark, d, "reports").select("study_id", "findings").distinct().where("findings IS NOT NULL")
     return document_frequency(token_index(rows.withColumn("findings", F.translate("findings", "_", " ")), "study_id", "findings"))
 
@@ -290,16 +288,10 @@ def similar(rows: DataFrame) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT concept FROM labels WHERE concept IS NOT NULL), q AS (SELECT DISTINCT title FROM documents WHERE title IS NOT NULL AND regexp_full_match(title, '[ -~]*')),
-t AS (SELECT title, list_distinct(list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g')), ' '), lambda x: x <> '')) AS a FROM q)
+    f"""WITH t AS (SELECT title, list_distinct(list_filter(string_split(trim({WORDS.format(c="title").replace('p{Nl}]', 'p{Nl}_]')}), ' '), lambda x: x <> '')) AS a FROM (SELECT DISTINCT title FROM documents WHERE title IS NOT NULL))
 SELECT x.title, y.title AS other, round(2.0 * len(list_intersect(x.a, y.a)) / (len(x.a) + len(y.a)), 6) AS dice FROM t x JOIN t y ON x.title < y.title
 WHERE 2.0 * len(list_intersect(x.a, y.a)) / (len(x.a) + len(y.a)) >= 0.8 AND len(x.a) > 0 AND len(y.a) > 0"""
 )
 def similar_titles(spark: SparkSession, d: str) -> DataFrame:
-    return similar(table(spark, d, "documents").where("title IS NOT NULL AND title RLIKE '^[ -~]*$'"))
-
-
-@query()
-def similar_titles_all(spark: SparkSession, d: str) -> DataFrame:
-    """``similar_titles`` over titles of any script."""
+    """Pairs of different titles of any script."""
     return similar(table(spark, d, "documents").where("title IS NOT NULL"))

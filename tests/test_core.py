@@ -355,9 +355,9 @@ def test_queries_over_all_scripts(spark, tmp_path):
     for t in texts[:-1]:
         tf.update(words(t))
         df.update(set(words(t)))
-    assert {r.term: (r.df, r.tf) for r in Q.inverted_index_all(spark, str(tmp_path)).collect()} == {w: (df[w], tf[w]) for w in tf}
-    norms = {r.doc_id: (r.norm, r.text_key) for r in Q.name_norms_all(spark, str(tmp_path)).collect()}
+    assert {r.term: (r.df, r.tf) for r in Q.inverted_index(spark, str(tmp_path)).collect()} == {w: (df[w], tf[w]) for w in tf}
+    norms = {r.doc_id: (r.norm, r.text_key) for r in Q.name_norms(spark, str(tmp_path)).collect()}
     assert norms == {i: (" ".join(words(t)), "".join(words(t))) for i, t in enumerate(titles) if t}
     sets = {t: set(words(t)) for t in titles if t}
     want = {(a, b) for a in sets for b in sets if a < b and 2 * len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) + len(sets[b]))}
-    assert len(want) == 3 and {(r.title, r.other) for r in Q.similar_titles_all(spark, str(tmp_path)).collect()} == want
+    assert len(want) == 3 and {(r.title, r.other) for r in Q.similar_titles(spark, str(tmp_path)).collect()} == want
