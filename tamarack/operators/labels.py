@@ -119,6 +119,28 @@ def constraint(include: Sequence[tuple[str, str]], exclude: Sequence[str], *, ab
     return all_of(parts)
 
 
+def satisfies(matrix: DataFrame, study: str, include: Sequence[tuple[str, str]], exclude: Sequence[str], **policy: str) -> bool:
+    """Whether one study meets a constraint; a study that isn't there doesn't."""
+    return not matrix.where(F.col("study_id") == study).where(constraint(include, exclude, **policy)).isEmpty()
+
+
+def ordered_matches(matrix: DataFrame, condition: Column, seed: int, most: int | None = None) -> DataFrame:
+    """(study_id) of the studies that match, in one seeded order that doesn't depend on the condition."""
+    rows = matrix.where(condition).select("study_id").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("study_id")), 256), "study_id")
+    return rows if most is None else rows.limit(most)
+
+
+def sample_window(manifest: DataFrame, images: DataFrame, start: int, n: int, split: str = "train") -> DataFrame:
+    """(study_id, stratum, rank_in_manifest, image_id) of n places of a manifest from ``start``; a study without exactly one image of the split
+    is an error."""
+    window = manifest.where(F.col("rank_in_manifest").between(start, start + n - 1))
+    rows = window.join(images.where(F.col("dataset_split") == split).select("study_id", "image_id"), "study_id", "left")
+    told = rows.agg(F.count(F.lit(1)).alias("rows"), F.count("image_id").alias("found"), F.countDistinct("study_id").alias("studies")).first()
+    if not told.rows == told.found == told.studies:
+        raise ValueError(f"{told.studies} studies met {told.found} images in {told.rows} rows")
+    return rows.select("study_id", "stratum", "rank_in_manifest", "image_id")
+
+
 def crosstab(resolved: DataFrame, concepts: Sequence[str]) -> DataFrame:
     """(concept, status, n) for all states of the given concepts, zeros included."""
     spark = resolved.sparkSession

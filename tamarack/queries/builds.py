@@ -12,7 +12,7 @@ from tamarack.operators import evaluate as E
 from tamarack.operators import labels as L
 from tamarack.operators import vectors as V
 from tamarack.plans import intents as P
-from tamarack.queries.corpus import CONCEPTS, NEWEST, RARITY, resolved, sources
+from tamarack.queries.corpus import CONCEPTS, NEWEST, RARITY, WIDE, resolved, sources
 from tamarack.queries.retrieval import FORMS, QUESTION, SCORES, scores
 from tamarack.session import cut, table
 from tamarack.sources import builds as B
@@ -176,3 +176,15 @@ def rescored_max_topk(spark: SparkSession, d: str) -> DataFrame:
     """A stored plan scored again under another way of combining."""
     plan = P.transform(QUESTION[:1], "max")
     return V.top_k(scores(spark, d).where("projection = 'PA'").select("vec_id", F.round(P.score(plan), 6).alias("score")), "score", "vec_id", 10)
+
+
+@query(WIDE + "SELECT study_id FROM wide WHERE pleural_effusion = 'PRESENT' ORDER BY sha256('3:' || study_id), study_id LIMIT 25")
+def ordered_matches(spark: SparkSession, d: str) -> DataFrame:
+    return L.ordered_matches(L.matrix(resolved(spark, d), table(spark, d, "labels"), CONCEPTS), L.constraint([("Pleural Effusion", "PRESENT")], []), 3, 25)
+
+
+@query("WITH v AS (SELECT DISTINCT image_id FROM corpus_vectors WHERE image_id IS NOT NULL), i AS (SELECT image_id, min(projection) AS projection FROM images GROUP BY image_id) SELECT v.image_id, coalesce(i.projection, '') AS view FROM v LEFT JOIN i USING (image_id)")
+def image_views(spark: SparkSession, d: str) -> DataFrame:
+    """The view of every indexed image, an empty text where it isn't known."""
+    views = table(spark, d, "images").groupBy("image_id").agg(F.min("projection").alias("projection"))
+    return table(spark, d, "corpus_vectors").select("image_id").where("image_id IS NOT NULL").distinct().join(views, "image_id", "left").select("image_id", F.coalesce("projection", F.lit("")).alias("view"))
