@@ -170,7 +170,7 @@ def nearest_classes(points: DataFrame, k: int, tables: int, probes: int, leaf: i
     digits = min(most_digits, 2 + math.ceil(max(1.0, math.log(max(1.0, n / leaf), width))))
     if tables > 16 or most_digits < 2:
         raise ValueError("at most 16 tables, and vectors of at most 2^26 numbers")
-    bits = min(MOST_BITS, max(1 << 15, 1 << math.ceil(math.log2(64 * tables * (n / leaf + width)))))
+    bits = min(MOST_BITS, max(1 << 15, 1 << math.ceil(math.log2(1_024 * tables * (n / leaf + width)))))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
