@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.session import running_sums
+from tamarack.session import all_of, running_sums
 
 
 def auroc(rows: DataFrame, by: Sequence[str], score: str, positive: Column, negative: Column, weight: str | None = None) -> DataFrame:
@@ -26,20 +26,37 @@ def gain_dcg(rank: Column, gain: Column) -> Column:
     return F.sum(gain / F.log2(rank + 1.0))
 
 
-def ndcg(ranked: DataFrame, judged: DataFrame, by: Sequence[str], item: str, grade: str, k: int, *, exponential: bool = False) -> DataFrame:
-    """(*by, ndcg): ranked has (*by, item, rank from 1), judged (*by, item, grade). Gains are grades, or 2^grade - 1;
-    the ideal is the k best of all that is judged; 0 where nothing is relevant."""
-    g = (F.pow(F.lit(2.0), F.col(grade)) - 1.0) if exponential else F.col(grade).cast("double")
-    got = ranked.where(F.col("rank") <= k).join(judged, [*by, item], "left").groupBy(*by).agg(gain_dcg(F.col("rank"), F.coalesce(g, F.lit(0.0))).alias("dcg"))
-    w = Window.partitionBy(*by).orderBy(F.col(grade).desc(), item)
-    best = judged.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy(*by).agg(gain_dcg(F.col("r"), g).alias("ideal"))
-    return got.join(best, list(by), "left").select(*by, F.round(F.when(F.coalesce("ideal", F.lit(0.0)) > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0), 6).alias("ndcg"))
-
-
-def rank_metrics(ranked: DataFrame, relevant: DataFrame, by: Sequence[str], item: str, k: int = 10) -> DataFrame:
-    """(*by, p_at_5, p_at_k, mrr): precisions divide by k even when fewer come back."""
-    hit = relevant.select(*by, item).distinct().withColumn("hit", F.lit(1))
-    top = ranked.where(F.col("rank") <= k).join(hit, [*by, item], "left")
+def ndcgs(ranked: DataFrame, judged: DataFrame, by: Sequence[str], item: str, grade: str, k: int, exponential: dict[str, bool], of: Sequence[str] | None = None) -> DataFrame:
+    """(*by, a column per name in ``exponential``): ranked has (*by, item, rank from 1), judged (*of, item, grade). Gains
+    are grades, or 2^grade - 1 where the name says so; the ideal is the k best of all that is judged; 0 where nothing is
+    relevant or a column of ``by`` is null. of: the columns of ``by`` that judgements depend on (all, if not given), so that
+    they aren't repeated for every group; if given, there are so few of these that their ideals are broadcast."""
+    of_ = list(by if of is None else of)
+    gain = lambda x: (F.pow(F.lit(2.0), F.col(grade)) - 1.0) if x else F.col(grade).cast("double")
+    top = ranked.where(F.col("rank") <= k).select(*by, item, "rank").join(judged, [*of_, item], "left")
+    got = top.groupBy(*by).agg(*[gain_dcg(F.col("rank"), F.coalesce(gain(x), F.lit(0.0))).alias(f"_dcg_{n}") for n, x in exponential.items()])
+    # the ideal needs no items, only how many have each of the k best grades
+    w = Window.partitionBy(*of_).orderBy(F.col(grade).desc())
+    counts = judged.groupBy(*of_, grade).agg(F.count(F.lit(1)).alias("_n")).withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= k)
+    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.withColumn("_before", before).where(F.col("_before") < k).select(*of_, grade, F.explode(F.sequence(F.col("_before") + 1, F.least(F.col("_before") + F.col("_n"), F.lit(k).cast("bigint")))).alias("_r"))
+    best = places.groupBy(*of_).agg(*[gain_dcg(F.col("_r"), gain(x)).alias(f"_ideal_{n}") for n, x in exponential.items()])
+    asked = all_of([F.col(c).isNotNull() for c in by])
+    score = lambda n: F.round(F.when(asked & (F.coalesce(f"_ideal_{n}", F.lit(0.0)) > 0), F.col(f"_dcg_{n}") / F.col(f"_ideal_{n}")).otherwise(0.0), 6).alias(n)
+    return got.join(best if of is None else F.broadcast(best), of_, "left").select(*by, *[score(n) for n in exponential])
+
+
+def ndcg(ranked: DataFrame, judged: DataFrame, by: Sequence[str], item: str, grade: str, k: int, *, exponential: bool = False, of: Sequence[str] | None = None) -> DataFrame:
+    """(*by, ndcg): one column of ``ndcgs``."""
+    return ndcgs(ranked, judged, by, item, grade, k, {"ndcg": exponential}, of)
+
+
+def rank_metrics(ranked: DataFrame, relevant: DataFrame, by: Sequence[str], item: str, k: int = 10, of: Sequence[str] | None = None) -> DataFrame:
+    """(*by, p_at_5, p_at_k, mrr): precisions divide by k even when fewer come back. of: the columns of ``by`` that
+    relevant has and depends on (all, if not given)."""
+    of = list(by if of is None else of)
+    hit = relevant.select(*of, item).distinct().withColumn("hit", F.lit(1))
+    top = ranked.where(F.col("rank") <= k).join(hit, [*of, item], "left")
     return top.groupBy(*by).agg(
         F.round(F.count_if(F.col("hit").isNotNull() & (F.col("rank") <= 5)) / 5, 6).alias("p_at_5"),
         F.round(F.count_if(F.col("hit").isNotNull()) / k, 6).alias("p_at_k"),

@@ -176,7 +176,7 @@ def ranked(spark: SparkSession, d: str) -> DataFrame:
     best = (
         table(spark, d, "hits").where(s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf"))).groupBy("request_id", F.col("column_name").alias("concept"), "study_id").agg(F.max("score").alias("score"))
     )
-    w = Window.partitionBy("request_id", "concept").orderBy(F.col("score").desc(), "study_id")
+    w = Window.partitionBy("request_id", "concept").orderBy(F.col("score").desc(), F.col("study_id").asc_nulls_last())
     return best.withColumn("rank", F.row_number().over(w))
 
 
@@ -218,6 +218,11 @@ def _judged(spark: SparkSession, d: str, top: DataFrame) -> DataFrame:
     return top.select("request_id", "concept").distinct().join(_grades(spark, d).where("grade > 0"), "concept").select("request_id", "concept", "study_id", "grade")
 
 
+def _relevant(spark: SparkSession, d: str) -> DataFrame:
+    """(concept, study_id, grade) of all relevant studies; they hang on the concept alone, so no request repeats them."""
+    return _grades(spark, d).where("grade > 0").select("concept", "study_id", "grade")
+
+
 @query(RANKED + _NDCG.format(gain="j.grade"))
 def ndcg_graded(spark: SparkSession, d: str) -> DataFrame:
     top = ranked(spark, d)
@@ -226,8 +231,7 @@ def ndcg_graded(spark: SparkSession, d: str) -> DataFrame:
 
 @query(RANKED + _NDCG.format(gain="(pow(2, j.grade) - 1)"))
 def ndcg_exponential(spark: SparkSession, d: str) -> DataFrame:
-    top = ranked(spark, d)
-    return E.ndcg(top, _judged(spark, d, top), ["request_id", "concept"], "study_id", "grade", 10, exponential=True)
+    return E.ndcg(ranked(spark, d), _relevant(spark, d), ["request_id", "concept"], "study_id", "grade", 10, exponential=True, of=["concept"])
 
 
 @query(
