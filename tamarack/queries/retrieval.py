@@ -225,8 +225,7 @@ def _relevant(spark: SparkSession, d: str) -> DataFrame:
 
 @query(RANKED + _NDCG.format(gain="j.grade"))
 def ndcg_graded(spark: SparkSession, d: str) -> DataFrame:
-    top = ranked(spark, d)
-    return E.ndcg(top, _judged(spark, d, top), ["request_id", "concept"], "study_id", "grade", 10)
+    return E.ndcg(ranked(spark, d), _relevant(spark, d), ["request_id", "concept"], "study_id", "grade", 10, of=["concept"])
 
 
 @query(RANKED + _NDCG.format(gain="(pow(2, j.grade) - 1)"))

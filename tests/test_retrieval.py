@@ -42,9 +42,11 @@ def gains(r, exponential):
     return round(sum(gain(g) / math.log2(i + 2) for i, g in enumerate(grade)) / sum(gain(2) / math.log2(i + 2) for i in range(10)), 6)
 
 
-def test_ndcg_exponential(spark, folder):
-    got, most = shuffled(spark, lambda: {(r.request_id, r.concept): r.ndcg for r in R.ndcg_exponential(spark, folder).collect()})
-    assert got == {(r, "Edema"): pytest.approx(gains(r, True), abs=1e-6) for r in range(REQUESTS)} | {(None, "Edema"): 0, (1, "Scar"): 0}
+@pytest.mark.parametrize("exponential", [True, False])
+def test_ndcg(spark, folder, exponential):
+    query = R.ndcg_exponential if exponential else R.ndcg_graded
+    got, most = shuffled(spark, lambda: {(r.request_id, r.concept): r.ndcg for r in query(spark, folder).collect()})
+    assert got == {(r, "Edema"): pytest.approx(gains(r, exponential), abs=1e-6) for r in range(REQUESTS)} | {(None, "Edema"): 0, (1, "Scar"): 0}
     assert most < 5 * REQUESTS  # not one row per request and relevant study
 
 
