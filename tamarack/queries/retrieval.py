@@ -343,6 +343,13 @@ def top_pairs(spark: SparkSession, d: str) -> DataFrame:
     return E.top_pairs(_counts(spark, d), ["concept", "study_id"], "n", 0.05, 500)
 
 
+def _paired_gains(spark: SparkSession, d: str) -> DataFrame:
+    """(request_id, concept, ndcg, b): both gains of each ranking, in one pass over the rankings and the judgements."""
+    by = ["request_id", "concept"]
+    both = E.ndcgs(ranked(spark, d), _relevant(spark, d), by, "study_id", "grade", 10, {"ndcg": False, "b": True}, of=["concept"])
+    return both.where("request_id IS NOT NULL AND concept IS NOT NULL")  # pairs join on these
+
+
 def _two_gains(spark: SparkSession, d: str) -> DataFrame:
     top = cut(ranked(spark, d))
     judged = cut(_judged(spark, d, top))
@@ -361,7 +368,7 @@ def paired_difference(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return E.bootstrap_mean_diff(_two_gains(spark, d), "ndcg", "b", 200, 20)
+    return E.bootstrap_mean_diff(cut(_paired_gains(spark, d)), "ndcg", "b", 200, 20)  # a row per request and concept, read twice
 
 
 def _rated(spark: SparkSession, d: str) -> DataFrame:
