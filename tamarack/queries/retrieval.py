@@ -350,20 +350,12 @@ def _paired_gains(spark: SparkSession, d: str) -> DataFrame:
     return both.where("request_id IS NOT NULL AND concept IS NOT NULL")  # pairs join on these
 
 
-def _two_gains(spark: SparkSession, d: str) -> DataFrame:
-    top = cut(ranked(spark, d))
-    judged = cut(_judged(spark, d, top))
-    by = ["request_id", "concept"]
-    a = E.ndcg(top, judged, by, "study_id", "grade", 10)
-    return a.join(E.ndcg(top, judged, by, "study_id", "grade", 10, exponential=True).withColumnRenamed("ndcg", "b"), by)
-
-
 @query(
     "WITH a AS (" + RANKED + _NDCG.format(gain="j.grade") + "), b AS (" + RANKED + _NDCG.format(gain="(pow(2, j.grade) - 1)") + ")"
     + " SELECT count(*) AS n, round(avg(a.ndcg - b.ndcg), 6) AS mean, count(*) FILTER (a.ndcg > b.ndcg) AS wins, count(*) FILTER (a.ndcg < b.ndcg) AS losses, count(*) FILTER (a.ndcg = b.ndcg) AS ties FROM a JOIN b USING (request_id, concept)"
 )
 def paired_difference(spark: SparkSession, d: str) -> DataFrame:
-    return E.paired_difference(_two_gains(spark, d), "ndcg", "b").withColumn("mean", F.round("mean", 6))
+    return E.paired_difference(_paired_gains(spark, d), "ndcg", "b").withColumn("mean", F.round("mean", 6))
 
 
 @query()

@@ -63,6 +63,13 @@ def test_paired_bootstrap(spark, folder):
     assert most < 4 * 200 + 1  # sums of 200 rounds in 4 partitions, not one row per request and relevant study
 
 
+def test_paired_difference(spark, folder):
+    got, most = shuffled(spark, lambda: R.paired_difference(spark, folder).first())
+    n, mean, *rest = paired()
+    assert tuple(got) == (n, pytest.approx(mean, abs=1e-6), *rest)
+    assert most < 5 * REQUESTS  # not one row per request and relevant study
+
+
 def test_ideal_of_few_and_equal_grades(spark):
     ranked = spark.createDataFrame([(1, "c", "a", 1), (2, "c", "x", 1), (2, "c", "b", 2), (1, "none", "a", 1)], "q int, c string, i string, rank int")
     judged = spark.createDataFrame([("c", "a", 2), ("c", "b", 1), ("c", "d", 1), ("c", "e", 1), ("c", "f", 0)], "c string, i string, grade int")
