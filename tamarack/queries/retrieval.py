@@ -214,10 +214,6 @@ ideal AS (SELECT request_id, concept, sum({gain} / log2(i + 1)) AS ideal FROM (S
 SELECT request_id, concept, round(CASE WHEN coalesce(ideal, 0) > 0 THEN dcg / ideal ELSE 0 END, 6) AS ndcg FROM got LEFT JOIN ideal USING (request_id, concept)"""
 
 
-def _judged(spark: SparkSession, d: str, top: DataFrame) -> DataFrame:
-    return top.select("request_id", "concept").distinct().join(_grades(spark, d).where("grade > 0"), "concept").select("request_id", "concept", "study_id", "grade")
-
-
 def _relevant(spark: SparkSession, d: str) -> DataFrame:
     """(concept, study_id, grade) of all relevant studies; they hang on the concept alone, so no request repeats them."""
     return _grades(spark, d).where("grade > 0").select("concept", "study_id", "grade")
@@ -239,9 +235,7 @@ def ndcg_exponential(spark: SparkSession, d: str) -> DataFrame:
 SELECT request_id, concept, round(count(*) FILTER (hit AND rank <= 5) / 5.0, 6) AS p_at_5, round(count(*) FILTER (hit) / 10.0, 6) AS p_at_k, round(coalesce(1.0 / min(rank) FILTER (hit), 0), 6) AS mrr FROM t GROUP BY ALL"""
 )
 def precision_mrr(spark: SparkSession, d: str) -> DataFrame:
-    top = ranked(spark, d)
-    good = _judged(spark, d, top).where("grade = 2")
-    return E.rank_metrics(top, good, ["request_id", "concept"], "study_id")
+    return E.rank_metrics(ranked(spark, d), _relevant(spark, d).where("grade = 2"), ["request_id", "concept"], "study_id", of=["concept"])
 
 
 @query(

@@ -50,6 +50,21 @@ def test_ndcg(spark, folder, exponential):
     assert most < 5 * REQUESTS  # not one row per request and relevant study
 
 
+def test_precision_mrr(spark, folder):
+    got, most = shuffled(spark, lambda: {(r.request_id, r.concept): (r.p_at_5, r.p_at_k, r.mrr) for r in R.precision_mrr(spark, folder).collect()})
+    want = {(None, "Edema"): (0, 0, 0), (1, "Scar"): (0, 0, 0)}
+    for r in range(REQUESTS):
+        hits = [i + 1 for i in range(3) if ((r + 7 * i) % STUDIES) % 2]
+        want[r, "Edema"] = len(hits) / 5, len(hits) / 10, pytest.approx(1 / hits[0], abs=1e-6)
+    assert got == want and most < 5 * REQUESTS  # not one row per request and relevant study
+
+
+def test_precision_without_request(spark):
+    ranked = spark.createDataFrame([(None, "c", "a", 1), (None, "c", "b", 2)], "q int, c string, i string, rank int")
+    relevant = spark.createDataFrame([("c", "b")], "c string, i string")
+    assert [tuple(r) for r in E.rank_metrics(ranked, relevant, ["q", "c"], "i", of=["c"]).collect()] == [(None, "c", 0.2, 0.1, 0.5)]  # as in the SQL
+
+
 def paired():
     """(n, mean, wins, losses, ties) of graded against exponential gains."""
     d = [gains(r, False) - gains(r, True) for r in range(REQUESTS)] + [0.0]
